@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from crawlens.llm import bpe, exact_dedup, token_counts
+from crawlens.llm import bpe, exact_dedup, line_dedup, sharding, simhash, token_counts, url_filter
 from crawlens.llm.common import table
 
 
@@ -17,16 +17,33 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.report(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.report(table(spark, sf_dir, "documents"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.report(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.report(table(spark, sf_dir, "pages"))
+
+
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judged(table(spark, sf_dir, "pages"))
+
+
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.components(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    own = (op1_exact_dedup, op2_bpe, op4_token_counts)
+    own = (op1_exact_dedup, op2_bpe, op3_sharding, op4_token_counts, op5_line_dedup, op6_url_filter, op7_simhash)
     return {f.__name__: f for f in own}
 
 
 ORACLE = {
+    "op5_line_dedup": line_dedup.oracle(),
     "op1_exact_dedup": """
         SELECT doc_id,
                max(doc_id) OVER same AS keep_id,
