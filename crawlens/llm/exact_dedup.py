@@ -26,6 +26,7 @@ STATE = {
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "128",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",  # else 4 MB are set aside for each partition's manifest
     "spark.sql.streaming.noDataMicroBatches.enabled": "false",
 }
 
