@@ -32,7 +32,7 @@ def staged(df: DataFrame, name: str) -> DataFrame:
 
 
 def located(df: DataFrame, name: str = "rows") -> DataFrame:
-    """df with `__file` and `__row`, the place of each stored row.
+    """df with `__crawlens_file` and `__crawlens_row`, the place of each stored row.
 
     A frame that isn't a plain file scan (joins, unions, in-memory rows) is written to
     the shared folder first, so that the locator is stable when a task is repeated.
@@ -47,7 +47,7 @@ def located(df: DataFrame, name: str = "rows") -> DataFrame:
     elif not df.inputFiles():
         df = staged(df, name)
     meta = df.metadataColumn("_metadata")
-    return df.select("*", meta["file_path"].alias("__file"), meta["row_index"].alias("__row"))
+    return df.select("*", meta["file_path"].alias("__crawlens_file"), meta["row_index"].alias("__crawlens_row"))
 
 
 def text_of(col: str = "text"):
@@ -59,3 +59,16 @@ def batches_of(table_or_batch: pa.RecordBatch, rows: int = 512) -> Iterator[pa.R
     """Smaller slices, so that what Python holds at once stays bounded."""
     for start in range(0, table_or_batch.num_rows, rows):
         yield table_or_batch.slice(start, rows)
+
+
+def released(spark: SparkSession, *tables: DataFrame) -> None:
+    """Delete staged tables that nothing will read again, and let Spark drop the shuffle files of ended steps."""
+    import gc
+
+    jvm = spark.sparkContext._jvm
+    for df in tables:
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    gc.collect()
+    jvm.System.gc()

@@ -67,7 +67,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dig
     """
     digest = F.unhex(F.sha2(text_of(text_col), 256)) if digest is None else digest
     rows = located(docs, "dedup-input")
-    place = F.struct(F.col(id_col).alias("id"), F.col("__file").alias("file"), F.col("__row").alias("row"))
+    place = F.struct(F.col(id_col).alias("id"), F.col("__crawlens_file").alias("file"), F.col("__crawlens_row").alias("row"))
     texts = rows.select(place.alias("place"), digest.alias("digest"), text_of(text_col).alias("text"))
     keys = staged(texts.select("place", "digest", F.sha2("text", 256).alias("sha256")), "dedup-keys")
     spark = docs.sparkSession
@@ -102,5 +102,5 @@ def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs, all columns, without the rows whose text another row has that stays."""
     rows = located(docs, "dedup-rows")
-    gone = classes(rows.drop("__file", "__row"), id_col, text_col).where("place != keep").select(F.col("place.file").alias("__file"), F.col("place.row").alias("__row"))
-    return rows.join(gone.hint("shuffle_hash"), ["__file", "__row"], "left_anti").select(*docs.columns)
+    gone = classes(rows.drop("__crawlens_file", "__crawlens_row"), id_col, text_col).where("place != keep").select(F.col("place.file").alias("__crawlens_file"), F.col("place.row").alias("__crawlens_row"))
+    return rows.join(gone.hint("shuffle_hash"), ["__crawlens_file", "__crawlens_row"], "left_anti").select(*docs.columns)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from crawlens.llm import bpe, exact_dedup, line_dedup, sharding, simhash, token_counts, url_filter
+from crawlens.llm import bpe, decontaminate, exact_dedup, language, line_dedup, sharding, simhash, substring_dedup, token_counts, url_filter
 from crawlens.llm.common import table
 
 
@@ -37,13 +37,26 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.components(table(spark, sf_dir, "documents"))
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.report(table(spark, sf_dir, "documents"))
+
+
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.found(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.report(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    own = (op1_exact_dedup, op2_bpe, op3_sharding, op4_token_counts, op5_line_dedup, op6_url_filter, op7_simhash)
+    own = (op1_exact_dedup, op2_bpe, op3_sharding, op4_token_counts, op5_line_dedup, op6_url_filter, op7_simhash, op8_substring_dedup, op9_decontaminate, op10_language)
     return {f.__name__: f for f in own}
 
 
 ORACLE = {
     "op5_line_dedup": line_dedup.oracle(),
+    "op8_substring_dedup": substring_dedup.ORACLE,
     "op1_exact_dedup": """
         SELECT doc_id,
                max(doc_id) OVER same AS keep_id,

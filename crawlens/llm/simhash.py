@@ -224,10 +224,11 @@ def linked(classes: DataFrame, key: Column, around: list[int], fields: list[str]
 
 def numbered(df: DataFrame, name: str) -> DataFrame:
     """A written table whose rows carry a number, `node`, given by their place in it."""
-    rows = located(staged(df, name), name)
-    part = F.regexp_extract("__file", r"part-(\d+)", 1).cast("long")
-    split = F.regexp_extract("__file", r"-c(\d+)", 1).cast("long")
-    return rows.withColumn("node", F.shiftleft(part, 40) + F.shiftleft(split, 32) + F.col("__row")).drop("__file", "__row")
+    rows = staged(df, name)
+    meta = rows.metadataColumn("_metadata")
+    part = F.regexp_extract(meta["file_name"], r"part-(\d+)", 1).cast("long")
+    split = F.regexp_extract(meta["file_name"], r"-c(\d+)", 1).cast("long")
+    return rows.select("*", (F.shiftleft(part, 40) + F.shiftleft(split, 32) + meta["row_index"]).alias("node"))
 
 
 # ---- the two operators --------------------------------------------------------------------
@@ -271,11 +272,11 @@ def labelled(classes: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, __file, __row, component_id, root (the component's own number) for every row of docs (a plain file scan or staged).
+    """id, __crawlens_file, __crawlens_row, component_id, root (the component's own number) for every row of docs (a plain file scan or staged).
 
     Texts of one component are linked by shingle sets with Jaccard similarity of `similarity` or more.
     """
-    rows = located(docs, "near-dup-input").select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), "__file", "__row")
+    rows = located(docs, "near-dup-input").select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), "__crawlens_file", "__crawlens_row")
     kind = docs.schema[id_col].dataType.simpleString()
     names = [f"f{i}" for i in range(LANES)]
 
@@ -288,11 +289,11 @@ def near_duplicates(docs: DataFrame, k: int = 5, similarity: float = SIMILARITY,
                     made.append((hashlib.blake2b(h.tobytes(), digest_size=16).digest(), len(h), *(signed(majority(mixed(h, i))) for i in range(LANES))))
                 cols = list(zip(*made))
                 arrays = [pa.array(cols[0], pa.binary()), *(pa.array(c, pa.int64()) for c in cols[1:])]
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), *arrays], names=["id", "__file", "__row", "digest", "n", *names])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), *arrays], names=["id", "__crawlens_file", "__crawlens_row", "digest", "n", *names])
 
     lanes = ", ".join(f"{f} bigint" for f in names)
-    prints = staged(rows.mapInArrow(sketch, f"id {kind}, __file string, __row bigint, digest binary, n bigint, {lanes}"), "sketches")
-    place = F.struct("id", "__file", "__row")
+    prints = staged(rows.mapInArrow(sketch, f"id {kind}, __crawlens_file string, __crawlens_row bigint, digest binary, n bigint, {lanes}"), "sketches")
+    place = F.struct("id", "__crawlens_file", "__crawlens_row")
     classes = numbered(prints.groupBy("digest", "n", *names).agg(F.min(place).alias("place"), F.min("id").alias("first")), "sketch-classes")
     band = F.floor(F.log(F.greatest(F.col("n"), F.lit(1)).cast("double")) / F.log(F.lit(1 / similarity)) + 1e-9).cast("long")
     spec = {"radius": WIDE_FIRST, "total": WIDE, "ratio": similarity}
@@ -300,7 +301,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, similarity: float = SIMILARITY,
 
     # Candidates, with their shingle sets, are compared exactly.
     some = wide.select(F.col("u").alias("node")).unionByName(wide.select(F.col("v").alias("node"))).distinct()
-    wanted = classes.join(some.hint("shuffle_hash"), "node", "left_semi").select("node", F.col("place.__file").alias("__file"), F.col("place.__row").alias("__row"), "n", *names)
+    wanted = classes.join(some.hint("shuffle_hash"), "node", "left_semi").select("node", F.col("place.__crawlens_file").alias("__crawlens_file"), F.col("place.__crawlens_row").alias("__crawlens_row"), "n", *names)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
@@ -308,20 +309,20 @@ def near_duplicates(docs: DataFrame, k: int = 5, similarity: float = SIMILARITY,
                 made = [np.unique(shingle_hashes(t, k)).view(np.int64) for t in batch.column(0).to_pylist()]
                 yield pa.RecordBatch.from_arrays([pa.array(made, pa.list_(pa.int64())), *batch.columns[1:]], names=["set", *batch.schema.names[1:]])
 
-    full = rows.select("text", "__file", "__row").join(wanted.hint("shuffle_hash"), ["__file", "__row"]).select("text", "node", "n", *names)
+    full = rows.select("text", "__crawlens_file", "__crawlens_row").join(wanted.hint("shuffle_hash"), ["__crawlens_file", "__crawlens_row"]).select("text", "node", "n", *names)
     with_sets = staged(full.mapInArrow(sets, f"set array<bigint>, node bigint, n bigint, {lanes}"), "candidate-sets")
     links = linked(with_sets, band, [0, 1], [*names, "n", "set"], spec | {"sets": True}, SET_TILE)
     named = labelled(classes, links).select("digest", "component_id", "root")
-    return prints.join(named, "digest").select(F.col("id").alias(id_col), "__file", "__row", "component_id", "root")
+    return prints.join(named, "digest").select(F.col("id").alias(id_col), "__crawlens_file", "__crawlens_row", "component_id", "root")
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs, all columns, with one row of each group of near duplicates: that with the least id (ties: the first place)."""
     rows = located(docs, "near-dup-rows")
-    named = near_duplicates(rows.drop("__file", "__row"), id_col=id_col, text_col=text_col)
-    place = F.struct(F.col(id_col).alias("i"), "__file", "__row")
+    named = near_duplicates(rows.drop("__crawlens_file", "__crawlens_row"), id_col=id_col, text_col=text_col)
+    place = F.struct(F.col(id_col).alias("i"), "__crawlens_file", "__crawlens_row")
     stays = named.groupBy("root").agg(F.min(place).alias("stay"))
-    gone = named.join(stays, "root").where((F.col("stay.__file") != F.col("__file")) | (F.col("stay.__row") != F.col("__row"))).select("__file", "__row")
-    return rows.join(gone.hint("shuffle_hash"), ["__file", "__row"], "left_anti").select(*docs.columns)
+    gone = named.join(stays, "root").where((F.col("stay.__crawlens_file") != F.col("__crawlens_file")) | (F.col("stay.__crawlens_row") != F.col("__crawlens_row"))).select("__crawlens_file", "__crawlens_row")
+    return rows.join(gone.hint("shuffle_hash"), ["__crawlens_file", "__crawlens_row"], "left_anti").select(*docs.columns)
 
 
