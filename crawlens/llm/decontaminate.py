@@ -145,7 +145,7 @@ def aligned(item: str, text: str, low: int, width: int, budget: int) -> tuple[in
         step = row + (padded[i : i + width] != a[i]) * big
         step[:-1] = np.minimum(step[:-1], row[1:] + big)
         row = np.minimum.accumulate(step - slope) + slope
-        if (row.min() // big) > budget:
+        if i % 8 == 7 and (row.min() // big) > budget:
             return None
     ends = low + k + m
     row = np.where((ends < 0) | (ends > len(t)), row + big // 2 * big, row)
