@@ -87,10 +87,12 @@ def signed(x: int) -> int:
 
 
 class Forest:
-    """Union-find over the rows of two tiles; keeps the links that joined something."""
+    """Union-find over the rows of one or two tiles; rows of one home are joined from the start."""
 
-    def __init__(self, n: int):
-        self.root = np.arange(n)
+    def __init__(self, home: np.ndarray):
+        _, first, at = np.unique(home, return_index=True, return_inverse=True)
+        self.home, self.start = home, first[at]
+        self.root = self.start.copy()
 
     def add(self, u: np.ndarray, v: np.ndarray) -> None:
         root = self.root
@@ -106,8 +108,9 @@ class Forest:
         self.root = root
 
     def links(self) -> tuple[np.ndarray, np.ndarray]:
-        child = np.nonzero(self.root != np.arange(len(self.root)))[0]
-        return child, self.root[child]
+        """Homes that were joined to others: one link for each."""
+        own = np.nonzero((self.start == np.arange(len(self.start))) & (self.root != self.start))[0]
+        return self.home[own], self.home[self.root[own]]
 
 
 def close_pairs(a: np.ndarray, b: np.ndarray, radius: int, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -130,10 +133,10 @@ def close_pairs(a: np.ndarray, b: np.ndarray, radius: int, same: bool) -> Iterat
         yield i, j
 
 
-def tile_links(left: dict, right: dict, same: bool, spec: dict) -> tuple[np.ndarray, np.ndarray]:
-    """Spanning links (node ids) between two tiles. spec: radius, and for sets first, total, ratio."""
+def joined(left: dict, right: dict, same: bool, spec: dict) -> Forest:
+    """The forest of the links between two tiles (same: inside one). spec: radius, and for sets total, ratio."""
     a, b = left["f0"], right["f0"]
-    forest = Forest(len(a) + (0 if same else len(b)))
+    forest = Forest(left["home"] if same else np.concatenate([left["home"], right["home"]]))
     shift = 0 if same else len(a)
     for i, j in close_pairs(a, b, spec["radius"], same):
         if "total" in spec and len(i):
@@ -150,9 +153,7 @@ def tile_links(left: dict, right: dict, same: bool, spec: dict) -> tuple[np.ndar
                         forest.add(np.array([x]), np.array([y + shift]))
         else:
             forest.add(i, j + shift)
-    nodes = left["node"] if same else np.concatenate([left["node"], right["node"]])
-    u, v = forest.links()
-    return nodes[u], nodes[v]
+    return forest
 
 
 # ---- tiles as rows ------------------------------------------------------------------------
@@ -178,30 +179,23 @@ def offsets(dims: int, radius: int) -> list[int]:
     return sorted(set(found), key=lambda n: (n != 0, n))
 
 
-def linked(classes: DataFrame, key: Column, around: list[int], fields: list[str], spec: dict, size: int) -> DataFrame:
-    """Spanning links (u, v) of all pairs of classes in tiles whose keys differ by one of `around`.
+def linked(classes: DataFrame, key: Column, around: list[int], fields: list[str], spec: dict, size: int) -> tuple[DataFrame, DataFrame]:
+    """homes (node, home: the first of its links' component inside its tile) and the links (u, v) between homes.
 
-    classes: staged; node and the fields. The work is one row for each pair of tiles, dealt
-    evenly whatever the keys' sizes; contents are joined to it by (key, tile).
+    All pairs of classes in tiles whose keys differ by one of `around` are compared. First
+    each tile is joined in itself; then the pairs of tiles, dealt evenly whatever the keys'
+    sizes, add links between what is still apart, so that a group of near copies leaves
+    few links for each pair of tiles, not some for each copy. classes: staged; node and fields.
     """
     keyed = classes.select("node", *fields, key.alias("key"))
     # Keys are bounded in number (population counts, logarithms of sizes), not by the rows.
     index = keyed.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias("tiles"))
     tiled = keyed.join(F.broadcast(index), "key").withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
     packed = tiled.groupBy("key", "tile").agg(F.collect_list(F.struct("node", *fields)).alias("rows"))
-    left = index.select(F.col("key").alias("lk"), F.col("tiles").alias("lt"), F.explode(F.array(*[F.lit(o).cast("long") for o in around])).alias("o"))
-    pairs = (
-        left.join(F.broadcast(index.select(F.col("key").alias("rk"), F.col("tiles").alias("rt"))), F.col("lk") + F.col("o") == F.col("rk"))
-        .withColumn("li", F.explode(F.sequence(F.lit(0), F.col("lt") - 1)))
-        .withColumn("ri", F.explode(F.sequence(F.when(F.col("o") == 0, F.col("li")).otherwise(F.lit(0)), F.col("rt") - 1)))
-        .select("lk", "li", "rk", "ri")
-    )
-    one = packed.select(F.col("key").alias("lk"), F.col("tile").alias("li"), F.col("rows").alias("left"))
-    two = packed.select(F.col("key").alias("rk"), F.col("tile").alias("ri"), F.col("rows").alias("right"))
-    work = pairs.join(one, ["lk", "li"]).join(two, ["rk", "ri"]).select(((F.col("lk") == F.col("rk")) & (F.col("li") == F.col("ri"))).alias("same"), "left", "right")
 
-    def unpack(rows) -> dict:
+    def unpack(rows, homes) -> dict:
         got = {"node": rows.field("node").to_numpy(zero_copy_only=False)}
+        got["home"] = got["node"] if homes is None else homes.to_numpy(zero_copy_only=False)
         for f in fields:
             col = rows.field(f)
             if f == "set":
@@ -212,14 +206,38 @@ def linked(classes: DataFrame, key: Column, around: list[int], fields: list[str]
                 got[f] = arr.view(np.uint64) if f[0] == "f" else arr
         return got
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def inside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
             for batch in batches_of(big, 1):
-                u, v = tile_links(unpack(batch.column(1)[0].values), unpack(batch.column(2)[0].values), batch.column(0)[0].as_py(), spec)
+                tile = unpack(batch.column(2)[0].values, None)
+                forest = joined(tile, tile, True, spec)
+                homes = pa.array([forest.home[forest.root]], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([*batch.columns, homes], names=["key", "tile", "rows", "homes"])
+
+    def between(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for big in batches:
+            for batch in batches_of(big, 1):
+                left, lh, right, rh = (batch.column(i)[0].values for i in range(4))
+                u, v = joined(unpack(left, lh), unpack(right, rh), False, spec).links()
                 if len(u):
                     yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
 
-    return work.mapInArrow(run, "u bigint, v bigint")
+    kinds = ", ".join(f"{f}:{classes.schema[f].dataType.simpleString()}" for f in ("node", *fields))
+    tiles = staged(packed.mapInArrow(inside, f"key bigint, tile int, rows array<struct<{kinds}>>, homes array<bigint>"), "tiles")
+    homes = tiles.select(F.explode(F.arrays_zip(F.col("rows.node").alias("node"), F.col("homes").alias("home"))).alias("x")).select("x.node", "x.home")
+
+    left = index.select(F.col("key").alias("lk"), F.col("tiles").alias("lt"), F.explode(F.array(*[F.lit(o).cast("long") for o in around])).alias("o"))
+    pairs = (
+        left.join(F.broadcast(index.select(F.col("key").alias("rk"), F.col("tiles").alias("rt"))), F.col("lk") + F.col("o") == F.col("rk"))
+        .withColumn("li", F.explode(F.sequence(F.lit(0), F.col("lt") - 1)))
+        .withColumn("ri", F.explode(F.sequence(F.lit(0), F.col("rt") - 1)))
+        .where("lk <> rk or li < ri")
+        .select("lk", "li", "rk", "ri")
+    )
+    one = tiles.select(F.col("key").alias("lk"), F.col("tile").alias("li"), F.col("rows").alias("left"), F.col("homes").alias("lh"))
+    two = tiles.select(F.col("key").alias("rk"), F.col("tile").alias("ri"), F.col("rows").alias("right"), F.col("homes").alias("rh"))
+    work = pairs.join(one, ["lk", "li"]).join(two, ["rk", "ri"]).select("left", "lh", "right", "rh")
+    return homes, work.mapInArrow(between, "u bigint, v bigint")
 
 
 def numbered(df: DataFrame, name: str) -> DataFrame:
@@ -256,19 +274,20 @@ def components(docs: DataFrame, k: int = 3, radius: int = 2, id_col: str = "doc_
     """id, fingerprint, component_id: least id reachable over links of `radius` bits or fewer."""
     prints = staged(fingerprints(docs, k, id_col, text_col), "fingerprints")
     classes = numbered(prints.groupBy("f0").agg(F.min("id").alias("first")), "fingerprint-classes")
-    links = linked(classes, code(words16(F.col("f0"))), offsets(4, radius), ["f0"], {"radius": radius}, TILE)
-    named = labelled(classes, links)
+    homes, links = linked(classes, code(words16(F.col("f0"))), offsets(4, radius), ["f0"], {"radius": radius}, TILE)
+    named = labelled(classes, homes, links)
     out = prints.join(named.select("f0", "component_id"), "f0")
     return out.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def labelled(classes: DataFrame, links: DataFrame) -> DataFrame:
-    """classes with component_id, the least `first` of each class's component."""
+def labelled(classes: DataFrame, homes: DataFrame, links: DataFrame) -> DataFrame:
+    """classes with root (of each class's component) and component_id (its least `first`)."""
     star = stars(links)
-    # Few classes have a link; the rest keep their own least id.
-    home = classes.join(star.withColumnRenamed("u", "node"), "node", "left").withColumn("root", F.coalesce("v", "node")).drop("v")
-    least = home.groupBy("root").agg(F.min("first").alias("component_id"))
-    return home.join(least, "root")
+    # Few homes have a link; the rest are components by themselves.
+    rooted = homes.join(star.select(F.col("u").alias("home"), F.col("v").alias("far")), "home", "left").select("node", F.coalesce("far", "home").alias("root"))
+    named = classes.join(rooted, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    least = named.groupBy("root").agg(F.min("first").alias("component_id"))
+    return named.join(least, "root")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -297,7 +316,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, similarity: float = SIMILARITY,
     classes = numbered(prints.groupBy("digest", "n", *names).agg(F.min(place).alias("place"), F.min("id").alias("first")), "sketch-classes")
     band = F.floor(F.log(F.greatest(F.col("n"), F.lit(1)).cast("double")) / F.log(F.lit(1 / similarity)) + 1e-9).cast("long")
     spec = {"radius": WIDE_FIRST, "total": WIDE, "ratio": similarity}
-    wide = linked(classes, band, [0, 1], [*names, "n"], spec, TILE).checkpoint()
+    homes, wide = linked(classes, band, [0, 1], [*names, "n"], spec, TILE)
+    inside = homes.where("node <> home").select(F.col("node").alias("u"), F.col("home").alias("v"))
+    wide = wide.unionByName(inside).checkpoint()
 
     # Candidates, with their shingle sets, are compared exactly.
     some = wide.select(F.col("u").alias("node")).unionByName(wide.select(F.col("v").alias("node"))).distinct()
@@ -311,8 +332,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, similarity: float = SIMILARITY,
 
     full = rows.select("text", "__crawlens_file", "__crawlens_row").join(wanted.hint("shuffle_hash"), ["__crawlens_file", "__crawlens_row"]).select("text", "node", "n", *names)
     with_sets = staged(full.mapInArrow(sets, f"set array<bigint>, node bigint, n bigint, {lanes}"), "candidate-sets")
-    links = linked(with_sets, band, [0, 1], [*names, "n", "set"], spec | {"sets": True}, SET_TILE)
-    named = labelled(classes, links).select("digest", "component_id", "root")
+    homes, links = linked(with_sets, band, [0, 1], [*names, "n", "set"], spec | {"sets": True}, SET_TILE)
+    named = labelled(classes, homes, links).select("digest", "component_id", "root")
     return prints.join(named, "digest").select(F.col("id").alias(id_col), "__crawlens_file", "__crawlens_row", "component_id", "root")
 
 
