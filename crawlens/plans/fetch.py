@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from crawlens.constants import MAX_BODY_BYTES, MAX_REDIRECTS
 from crawlens.functions import urls
+from crawlens.session import cut
 from crawlens.sources.pages import capped
 
 
@@ -31,7 +32,7 @@ def followed(starts: DataFrame, responses: DataFrame, max_redirects: int = MAX_R
             .when(F.lit(hop == max_redirects), "too_many_redirects")
         )
         step = F.col("outcome").isNull() & now.isNull()
-        rows = seen.select("url", F.when(step, urls.resolved(F.col("at_location"), F.col("at"))).otherwise(F.col("at")).alias("at"), F.when(step, F.col("hops") + 1).otherwise(F.col("hops")).alias("hops"), now.alias("outcome"))
+        rows = cut(seen.select("url", F.when(step, urls.resolved(F.col("at_location"), F.col("at"))).otherwise(F.col("at")).alias("at"), F.when(step, F.col("hops") + 1).otherwise(F.col("hops")).alias("hops"), now.alias("outcome")))
     return rows.select("url", F.col("at").alias("final_url"), "hops", "outcome")
 
 

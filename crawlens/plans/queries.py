@@ -294,7 +294,9 @@ def stream_quota(spark, sf_dir):
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     # A pattern, since a stream's source may be one file or a folder of them.
     events = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parque[t]")
-    counts = admission.stream_counts(events.select("ts", F.col("user_id").alias("ip")))
+    # The table's times are UTC without a zone; a watermark needs instants.
+    instant = F.expr("cast(convert_timezone('UTC', current_timezone(), ts) as timestamp)").alias("ts")
+    counts = admission.stream_counts(events.select(instant, F.col("user_id").alias("ip")))
 
     def keep(batch, batch_id):
         batch.write.mode("overwrite").parquet(f"{path}/rows/batch={batch_id}")

@@ -10,6 +10,7 @@ from crawlens.constants import MAX_NAV_LINKS, MAX_PAGES, MAX_SITEMAP_DEPTH, MAX_
 from crawlens.functions import urls
 from crawlens.functions.columns import grade, half_up, whole
 from crawlens.operators import robots as robots_ops
+from crawlens.session import cut
 
 LOC = r"(?i)<loc>\s*([^<\s][^<]*?)\s*</loc>"
 
@@ -43,6 +44,7 @@ def crawled(seeds: DataFrame, sitemaps: DataFrame) -> DataFrame:
     for depth in range(MAX_SITEMAP_DEPTH + 1):
         level = level.withColumn("ok", urls.safety(F.col("url")).ok)
         got = level.join(files, (F.col("url") == F.col("file_url")) & F.col("ok"), "left").drop("file_url")
+        got = cut(got)
         visits = got if visits is None else visits.unionByName(got)
         if depth < MAX_SITEMAP_DEPTH:
             below = got.where("index").select("origin", "trail", F.posexplode(locs(F.col("body"))).alias("n", "url"))
@@ -73,11 +75,11 @@ def nav_links(homes: DataFrame) -> DataFrame:
 def discovered(sites: DataFrame, robots_txt: DataFrame, sitemaps: DataFrame, homes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(candidates: origin, ord, url; summary per origin: source, found, robots_found, sitemap_found, dropped)."""
     live = robots_txt.where("status = 200 and trim(body) <> ''")
-    declared = robots_ops.sitemaps(live)
+    declared = cut(robots_ops.sitemaps(live))
     seeds = declared.unionByName(sites.join(declared.select("origin").distinct(), "origin", "left_anti").select("origin", F.lit(0).alias("ord"), F.concat("origin", F.lit("/sitemap.xml")).alias("url")))
     visits = crawled(seeds, sitemaps)
-    pages = sitemap_pages(visits)
-    links = nav_links(homes)
+    pages = cut(sitemap_pages(visits))
+    links = cut(nav_links(homes))
     counts = (
         sites.select("origin")
         .join(live.select("origin", F.lit(True).alias("robots_found")), "origin", "left")
@@ -96,6 +98,7 @@ def discovered(sites: DataFrame, robots_txt: DataFrame, sitemaps: DataFrame, hom
         mapped.alias("sitemap_found"),
         (F.col("bad_maps") + F.col("bad_pages") + F.when(mapped, 0).otherwise(F.col("bad_links"))).cast("long").alias("dropped"),
     )
+    summary = cut(summary)
     source = summary.select("origin", "source")
     home = source.select("origin", F.array(F.lit(-1)).alias("trail"), F.concat("origin", F.lit("/")).alias("url"))
     maps = pages.where("ok").join(source.where("source like 'sitemap%'"), "origin", "left_semi").select("origin", "trail", "url")
@@ -221,7 +224,8 @@ def site_scan(pages: DataFrame, robots_txt: DataFrame, llms: DataFrame, sitemaps
     """
     from crawlens.operators import report
 
-    reports = report.scored(report.contexts(pages, robots_txt, llms))
+    # Reports are narrow rows, used for the home pages' links and for the roll-up: computed once.
+    reports = cut(report.scored(report.contexts(pages, robots_txt, llms)))
     homes = reports.where(urls.is_homepage(F.col("url"), F.col("origin"))).select("origin", "url", F.col("facts.links").alias("links"))
     sites = reports.select("origin").where("origin is not null").distinct()
     candidates, summary = discovered(sites, robots_txt, sitemaps, homes)

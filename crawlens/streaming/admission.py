@@ -72,7 +72,7 @@ def weighted(requests: DataFrame, per_ip: int = DAILY_PER_IP, overall: int = DAI
 
 def stream_counts(requests: DataFrame, lateness: str = f"{COUNTER_HOURS} hours") -> DataFrame:
     """Streaming: requests by ip and day. State of a day ends when the watermark has passed it."""
-    return requests.withWatermark("ts", lateness).groupBy(F.window("ts", "1 day").alias("w"), "ip").agg(F.count(F.lit(1)).alias("n")).select(F.date_format("w.start", "yyyy-MM-dd").alias("day"), "ip", "n")
+    return requests.withWatermark("ts", lateness).groupBy(F.window("ts", "1 day").alias("w"), "ip").agg(F.count(F.lit(1)).alias("n")).select(F.expr("date_format(to_utc_timestamp(w.start, current_timezone()), 'yyyy-MM-dd')").alias("day"), "ip", "n")
 
 
 def stream_daily(requests: DataFrame, per_ip: int = DAILY_PER_IP, overall: int = DAILY_GLOBAL) -> DataFrame:
