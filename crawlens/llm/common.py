@@ -24,10 +24,20 @@ def fresh_dir(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/crawlens-{name}-{uuid.uuid4().hex}"
 
 
+#: A write's shuffle files are dropped when it has ended, not when the driver happens to collect its garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Cut lineage by a written table in the shared folder; survives the loss of executors."""
-    path = fresh_dir(df.sparkSession, name)
-    df.write.parquet(path)
+    spark = df.sparkSession
+    path = fresh_dir(spark, name)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -53,20 +53,17 @@ def words_of(text: str | None) -> list[bytes]:
     return text.encode().split() if text else []
 
 
-class Hashes:
+class Hashes(dict):
     """XXH64 of words, remembered."""
 
-    def __init__(self):
-        self.known: dict[bytes, int] = {}
+    def __missing__(self, word: bytes) -> int:
+        self[word] = out = xxhash.xxh64_intdigest(word)
+        return out
 
     def of(self, words: list[bytes]) -> np.ndarray:
-        known = self.known
-        if len(known) > LIMIT:
-            known.clear()
-        for w in set(words):
-            if w not in known:
-                known[w] = xxhash.xxh64_intdigest(w)
-        return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+        if len(self) > LIMIT:
+            self.clear()
+        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
 def minimizers(h: np.ndarray, window: int = WINDOW, gram: int = GRAM) -> np.ndarray:
@@ -282,36 +279,66 @@ def cut_out(marked: DataFrame) -> DataFrame:
     return marked.mapInArrow(run, "node bigint, n_removed bigint, kept_sha256 string, kept_text string")
 
 
-def matched(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Tables: rows (ord, id, n_words, digest, sha256), firsts (node, ord, digest) and cuts (node, n_removed, kept_sha256, kept_text)."""
-    spark = docs.sparkSession
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     order = F.coalesce(F.col(id_col).cast("long"), F.lit(LAST - 1))
-    rows = located(docs, "substring-input").select(order.alias("ord"), "__crawlens_file", "__crawlens_row", F.col(text_col).alias("text"))
-    seen = staged(scanned(rows), "substring-scan")
+    return docs.select(order.alias("ord"), "__crawlens_file", "__crawlens_row", F.col(text_col).alias("text"))
+
+
+def _firsts(seen: DataFrame) -> DataFrame:
+    """One row for each text of at least a window: that of the least id."""
     place = F.struct("ord", "__crawlens_file", "__crawlens_row")
     first = seen.where(F.col("n_words") >= WINDOW).groupBy("digest").agg(F.min(place).alias("p"))
     alone = seen.join(first, "digest").where(place == F.col("p")).select("digest", "ord", "__crawlens_file", "__crawlens_row", "mins")
-    firsts = numbered(alone, "substring-firsts")
+    return numbered(alone, "substring-firsts")
 
-    # Minimizers of more than one document, and the documents that have them.
+
+def _shared(firsts: DataFrame, hot: int) -> DataFrame:
+    """The documents with minimizers of more than one document, and those minimizers."""
     grams = firsts.select(F.explode("mins").alias("m"), "ord", "node")
     shared = grams.groupBy("m").agg(F.min("ord").alias("lo"), F.max("ord").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi").select("m", (F.col("n") > hot).alias("hot"))
     of_node = grams.select("m", "node").join(shared, "m").groupBy("node").agg(F.collect_list("m").alias("shared"), F.collect_list(F.when(F.col("hot"), F.col("m"))).alias("hot"))
-    with_grams = firsts.select("node", "ord", "__crawlens_file", "__crawlens_row").join(of_node, "node")
-    held = staged(with_grams, "substring-shared")
-    released(spark)
-    candidates = staged(rows.select("text", "__crawlens_file", "__crawlens_row").join(held.hint("shuffle_hash"), ["__crawlens_file", "__crawlens_row"]).select("node", "ord", "text", "shared", "hot"), "substring-candidates")
-    released(spark, held)
+    return staged(firsts.select("node", "ord", "__crawlens_file", "__crawlens_row").join(of_node, "node"), "substring-shared")
 
-    cut = staged(runs(candidates), "substring-runs")
+
+def _candidates(rows: DataFrame, held: DataFrame) -> DataFrame:
+    texts = rows.select("text", "__crawlens_file", "__crawlens_row").join(held.hint("shuffle_hash"), ["__crawlens_file", "__crawlens_row"])
+    return staged(texts.select("node", "ord", "text", "shared", "hot"), "substring-candidates")
+
+
+def _starts(cut: DataFrame) -> DataFrame:
+    """node, starts: the windows of each document that a smaller document has."""
     distinct = cut.groupBy("m", "seg").agg(F.min("ord").alias("low"))
-    lows = owned(distinct)
-    starts = cut.select("key", "node", "ord", "start").join(lows, "key").where(F.exists("lows", lambda x: x < F.col("ord")))
+    met = cut.select("key", "node", "ord", "start").join(owned(distinct), "key").where(F.exists("lows", lambda x: x < F.col("ord")))
     offsets = F.filter(F.transform("lows", lambda x, i: F.when(x < F.col("ord"), F.col("start") + i)), lambda x: x.isNotNull())
-    by_node = starts.select("node", offsets.alias("at")).groupBy("node").agg(F.flatten(F.collect_list("at")).alias("starts"))
-    marked = candidates.select("node", "text").join(by_node.hint("shuffle_hash"), "node").select("node", "text", "starts")
-    cuts = staged(cut_out(marked), "substring-cuts")
-    released(spark, cut, candidates)
+    return staged(met.select("node", offsets.alias("at")).groupBy("node").agg(F.flatten(F.collect_list("at")).alias("starts")), "substring-starts")
+
+
+def _cuts(candidates: DataFrame, starts: DataFrame) -> DataFrame:
+    return staged(cut_out(candidates.select("node", "text").join(starts.hint("shuffle_hash"), "node").select("node", "text", "starts")), "substring-cuts")
+
+
+def matched(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Tables: rows (ord, n_words, digest, sha256), firsts (node, ord, digest) and cuts (node, n_removed, kept_sha256, kept_text).
+
+    Each step writes what the next ones need; then its inputs and shuffle files can go, so
+    that no more than two steps' files lie on disk at once.
+    """
+    spark = docs.sparkSession
+    rows = _texts(located(docs, "substring-input"), id_col, text_col)
+    scan = staged(scanned(rows), "substring-scan")
+    seen = staged(scan.select("ord", "n_words", "digest", "sha256"), "substring-rows")
+    wide = _firsts(scan)
+    released(spark, scan)
+    held = _shared(wide, hot)
+    firsts = staged(wide.select("node", "ord", "digest"), "substring-first-ids")
+    released(spark, wide)
+    candidates = _candidates(rows, held)
+    released(spark, held)
+    cut = staged(runs(candidates), "substring-runs")
+    starts = _starts(cut)
+    released(spark, cut)
+    cuts = _cuts(candidates, starts)
+    released(spark, candidates, starts)
     return seen, firsts, cuts
 
 
@@ -321,7 +348,7 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     done = firsts.select("node", "digest", F.col("ord").alias("lo")).join(cuts, "node", "left").drop("node")
     wholly = F.col("ord") > F.col("lo")
     null_id = F.when(F.col("ord") < LAST - 1, F.col("ord"))
-    return seen.select("ord", "n_words", "digest", "sha256").join(done, "digest", "left").select(
+    return seen.join(done, "digest", "left").select(
         null_id.alias(id_col),
         "n_words",
         F.when(wholly, F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0))).alias("n_removed"),
