@@ -1,6 +1,5 @@
 """Page facts, scores and reports, on pages written here."""
 
-import pytest
 from pyspark.sql import functions as F
 
 from crawlens.functions import htmltree
@@ -71,28 +70,28 @@ def test_long_content_is_cut(spark):
     assert c.truncated and len(c.text) == 20000 and c.original_length == 24999
 
 
-@pytest.mark.parametrize(
-    "body, bot, path, allowed",
-    [
-        ("User-agent: *\nDisallow: /blog\nAllow: /blog/public", "GPTBot", "/blog/private", False),
-        ("User-agent: *\nDisallow: /blog\nAllow: /blog/public", "GPTBot", "/blog/public/post", True),
-        ("User-agent: *\nDisallow:", "GPTBot", "/anything", True),
-        ("User-agent: *\nDisallow: /*.pdf$", "GPTBot", "/files/report.pdf", False),
-        ("User-agent: *\nDisallow: /*.pdf$", "GPTBot", "/files/report.pdfx", True),
-        ("User-agent: gptbot\nDisallow: /\nUser-agent: *\nAllow: /", "GPTBot", "/", False),
-        ("User-agent: claude\nDisallow: /a", "Claude-User", "/a/b", False),
-        ("User-agent:\nDisallow: /", "Diffbot", "/", False),
-        ("Disallow: /\nUser-agent: other\nDisallow: /", "Diffbot", "/", True),
-        ("User-agent: *\nDisallow: /a\nAllow: /a", "Diffbot", "/a", True),
-        ("User-agent: *\nDisallow: *", "Diffbot", "/a", False),
-        ("User-agent: CCBot\nSitemap: x\nUser-agent: Diffbot\nDisallow: /q", "CCBot", "/q", False),
-        ("User-agent: CCBot\nCrawl-delay: 1\nUser-agent: Diffbot\nDisallow: /q", "CCBot", "/q", True),
-    ],
-)
-def test_robots(spark, body, bot, path, allowed):
-    df = spark.createDataFrame([("o", body)], "origin string, body string")
-    row = robots.groups(df).select(robots.ruling(F.col("groups"), F.lit(bot), F.lit(path)).alias("r")).first()
-    assert row.r.allowed == allowed
+ROBOTS = [
+    ("User-agent: *\nDisallow: /blog\nAllow: /blog/public", "GPTBot", "/blog/private", False),
+    ("User-agent: *\nDisallow: /blog\nAllow: /blog/public", "GPTBot", "/blog/public/post", True),
+    ("User-agent: *\nDisallow:", "GPTBot", "/anything", True),
+    ("User-agent: *\nDisallow: /*.pdf$", "GPTBot", "/files/report.pdf", False),
+    ("User-agent: *\nDisallow: /*.pdf$", "GPTBot", "/files/report.pdfx", True),
+    ("User-agent: gptbot\nDisallow: /\nUser-agent: *\nAllow: /", "GPTBot", "/", False),
+    ("User-agent: claude\nDisallow: /a", "Claude-User", "/a/b", False),
+    ("User-agent:\nDisallow: /", "Diffbot", "/", False),
+    ("Disallow: /\nUser-agent: other\nDisallow: /", "Diffbot", "/", True),
+    ("User-agent: *\nDisallow: /a\nAllow: /a", "Diffbot", "/a", True),
+    ("User-agent: *\nDisallow: *", "Diffbot", "/a", False),
+    ("User-agent: CCBot\nSitemap: x\nUser-agent: Diffbot\nDisallow: /q", "CCBot", "/q", False),
+    ("User-agent: CCBot\nCrawl-delay: 1\nUser-agent: Diffbot\nDisallow: /q", "CCBot", "/q", True),
+]
+
+
+def test_robots(spark):
+    df = spark.createDataFrame([(str(i), body) for i, (body, *_) in enumerate(ROBOTS)], "origin string, body string")
+    asked = spark.createDataFrame([(str(i), bot, path) for i, (_, bot, path, _) in enumerate(ROBOTS)], "origin string, bot string, path string")
+    rows = robots.groups(df).join(asked, "origin").select("origin", robots.ruling(F.col("groups"), F.col("bot"), F.col("path")).alias("r")).collect()
+    assert {int(x.origin): x.r.allowed for x in rows} == {i: c[3] for i, c in enumerate(ROBOTS)}
 
 
 def test_llms_shape(spark):

@@ -19,41 +19,44 @@ def index(*urls):
     return "<sitemapindex>" + "".join(f"<sitemap><loc> {u}\n</loc></sitemap>" for u in urls) + "</sitemapindex>"
 
 
-def discover(spark, robots=None, maps=None, links=()):
-    sites = spark.createDataFrame([(O,)], "origin string")
-    r = spark.createDataFrame([(O, 200 if robots else 404, robots)], "origin string, status int, body string")
-    m = spark.createDataFrame([(u, 200, b) for u, b in (maps or {}).items()], "url string, status int, body string")
-    h = spark.createDataFrame([(O, O + "/", list(links))], "origin string, url string, links array<string>")
+def discover(spark, cases):
+    """cases: origin to (robots, {url: sitemap}, links of the home page); all sites in one run."""
+    sites = spark.createDataFrame([(o,) for o in cases], "origin string")
+    r = spark.createDataFrame([(o, 200 if c[0] else 404, c[0]) for o, c in cases.items()], "origin string, status int, body string")
+    m = spark.createDataFrame([(u, 200, b) for c in cases.values() for u, b in c[1].items()], "url string, status int, body string")
+    h = spark.createDataFrame([(o, o + "/", list(c[2])) for o, c in cases.items()], "origin string, url string, links array<string>")
     c, s = site.discovered(sites, r, m, h)
-    return [x.url for x in c.orderBy("ord").collect()], s.first()
-
-
-def test_index_is_followed(spark):
-    maps = {
-        f"{O}/s.xml": index(f"{O}/a.xml", f"{O}/s.xml", "https://other.com/x.xml", f"{O}/b.xml", f"{O}/gone.xml"),
-        f"{O}/a.xml": loc(f"{O}/blog/1", f"{O}/blog/2?a=1&amp;b=2", "https://other.com/z"),
-        f"{O}/b.xml": loc(f"{O}/news/1", f"{O}/blog/1"),
+    urls = {}
+    for x in c.orderBy("origin", "ord").collect():
+        urls.setdefault(x.origin, []).append(x.url)
+    return urls, {x.origin: x for x in s.collect()}
+
+
+def test_discovery(spark):
+    a, b, c, d, e = (f"https://{x}.example.com" for x in "abcde")
+    cases = {
+        a: (
+            f"User-agent: *\nSitemap: {a}/s.xml\nSitemap: https://other.com/s.xml",
+            {
+                f"{a}/s.xml": index(f"{a}/a.xml", f"{a}/s.xml", "https://other.com/x.xml", f"{a}/b.xml", f"{a}/gone.xml"),
+                f"{a}/a.xml": loc(f"{a}/blog/1", f"{a}/blog/2?a=1&amp;b=2", "https://other.com/z"),
+                f"{a}/b.xml": loc(f"{a}/news/1", f"{a}/blog/1"),
+            },
+            (),
+        ),
+        b: (None, {f"{b}/sitemap.xml": loc(*[f"{b}/p/{i}" for i in range(2050)])}, ()),
+        # Three levels of indexes are one too many.
+        c: (None, {f"{c}/sitemap.xml": index(f"{c}/1.xml"), f"{c}/1.xml": index(f"{c}/2.xml"), f"{c}/2.xml": index(f"{c}/3.xml"), f"{c}/3.xml": loc(f"{c}/deep/x")}, ()),
+        d: ("User-agent: *\nDisallow:", {}, ["/a", "b/c", "#top", "mailto:x@y", "https://other.com/", "", "/a", "/a#x", "JavaScript:void(0)"]),
+        e: (None, {}, ()),
     }
-    urls, s = discover(spark, f"User-agent: *\nSitemap: {O}/s.xml\nSitemap: https://other.com/s.xml", maps)
-    assert urls == [f"{O}/", f"{O}/blog/1", f"{O}/blog/2?a=1&b=2", f"{O}/news/1"]
-    assert (s.source, s.found, s.robots_found, s.sitemap_found) == ("sitemap-index", 4, True, True)
-
-
-def test_plain_sitemap_and_limit(spark):
-    urls, s = discover(spark, None, {f"{O}/sitemap.xml": loc(*[f"{O}/p/{i}" for i in range(2050)])})
-    assert len(urls) == 2001 and (s.source, s.found) == ("sitemap", 2000)
-
-
-def test_depth_is_bounded(spark):
-    maps = {f"{O}/sitemap.xml": index(f"{O}/1.xml"), f"{O}/1.xml": index(f"{O}/2.xml"), f"{O}/2.xml": index(f"{O}/3.xml"), f"{O}/3.xml": loc(f"{O}/deep/x")}
-    urls, s = discover(spark, None, maps)
-    assert urls == [f"{O}/"] and s.source == "none"
-
-
-def test_links_of_the_home_page(spark):
-    urls, s = discover(spark, "User-agent: *\nDisallow:", {}, ["/a", "b/c", "#top", "mailto:x@y", "https://other.com/", "", "/a", "/a#x", "JavaScript:void(0)"])
-    assert urls == [f"{O}/", f"{O}/a", f"{O}/b/c", f"{O}/a#x"] and (s.source, s.found) == ("nav-fallback", 4)
-    assert discover(spark)[0] == [f"{O}/"]
+    urls, s = discover(spark, cases)
+    assert urls[a] == [f"{a}/", f"{a}/blog/1", f"{a}/blog/2?a=1&b=2", f"{a}/news/1"]
+    assert (s[a].source, s[a].found, s[a].robots_found, s[a].sitemap_found) == ("sitemap-index", 4, True, True)
+    assert len(urls[b]) == 2001 and (s[b].source, s[b].found) == ("sitemap", 2000)
+    assert urls[c] == [f"{c}/"] and s[c].source == "none"
+    assert urls[d] == [f"{d}/", f"{d}/a", f"{d}/b/c", f"{d}/a#x"] and (s[d].source, s[d].found) == ("nav-fallback", 4)
+    assert urls[e] == [f"{e}/"] and s[e].source == "none"
 
 
 def sample(spark, urls, n=15):
@@ -70,7 +73,7 @@ def test_sampling(spark):
 
 def test_sampling_budget_against_the_loop(spark):
     rng = random.Random(9)
-    for _ in range(6):
+    for _ in range(3):
         urls = [f"{O}/s{rng.randrange(12)}/{i}" for i in range(rng.randrange(1, 40))]
         sections = {}
         for u in urls:
