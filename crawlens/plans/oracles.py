@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from crawlens.constants import ANSWER_TYPES, BOTS, CHALLENGE_MARKERS, GATE_MARKERS, NOTABLE_BOTS, TIER_A, TIER_B
+from crawlens.constants import ANSWER_TYPES, BOTS, CHALLENGE_MARKERS, DIMENSIONS, GATE_MARKERS, NOTABLE_BOTS, TIER_A, TIER_B
 from crawlens.sources import inputs
 from crawlens.sources.inputs import duck
 
@@ -139,7 +139,7 @@ sc AS (
             + CASE WHEN article::INT + nav::INT + footer::INT >= 3 THEN 3 WHEN article OR nav OR footer THEN 2 ELSE 0 END
             + CASE WHEN uls + ols + tables > 0 THEN 2 ELSE 0 END + CASE WHEN words >= 300 THEN 1 ELSE 0 END)::INT AS s4,
         (CASE WHEN described THEN 2 + 2 + 2 ELSE 0 END + CASE WHEN lang <> '' THEN 1 ELSE 0 END + CASE WHEN graph THEN 3 + 2 ELSE 0 END)::INT AS s5,
-        coalesce(ls.score, 0) AS s6
+        coalesce(ls.score, 0) AS s6, coalesce(ls.present, false) AS here, coalesce(ls.well_formed, false) AS shaped, coalesce(ls.full_present, false) AS whole
     FROM skip k LEFT JOIN ls ON ls.origin = k.site
 ),
 tt AS (SELECT *, least(100, greatest(0, s1 + s2 + s3 + s4 + s5 + s6))::INT AS total FROM sc),
@@ -156,6 +156,59 @@ an AS (
 aw AS (SELECT *, (CASE WHEN questions >= 3 THEN 30 WHEN questions = 2 THEN 22 WHEN questions = 1 THEN 12 ELSE 0 END + CASE WHEN tldr THEN 15 ELSE 0 END
                   + CASE WHEN paras >= 4 THEN 20 WHEN paras >= 2 THEN 13 WHEN paras = 1 THEN 6 ELSE 0 END + CASE WHEN ols > 0 THEN 6 ELSE 0 END)::INT AS answer FROM an)"""
 
+#: Place of the dimension, code, severity (SQL), whether it is good, condition.
+FOUND = (
+    (0, "robots.absent", "'info'", True, "shut IS NULL"),
+    (0, "robots.all_allowed", "'info'", True, "shut = 0"),
+    (0, "robots.some_blocked", "CASE WHEN notable > 0 THEN 'high' ELSE 'medium' END", False, "shut > 0"),
+    (0, "meta.noindex", "'high'", False, "noindex OR none_"),
+    (0, "meta.noai", "'medium'", False, "noai OR none_"),
+    (0, "meta.nosnippet", "'low'", False, "nosnippet"),
+    (0, "meta.clean", "'info'", True, "NOT (noindex OR noai OR nosnippet OR none_)"),
+    (1, "extract.js_only", "'critical'", False, "shell"),
+    (1, "extract.thin_content", "CASE WHEN words < 60 THEN 'high' ELSE 'medium' END", False, "NOT shell AND words < 150"),
+    (1, "extract.has_text", "'info'", True, "NOT shell AND words >= 150"),
+    (1, "extract.main_landmark", "'info'", True, "NOT shell AND article AND main_words >= 150"),
+    (1, "extract.no_main", "'low'", False, "NOT shell AND NOT (article AND main_words > 0)"),
+    (1, "extract.low_ratio", "'low'", False, "NOT shell AND ratio < 0.04"),
+    (2, "schema.invalid_jsonld", "'medium'", False, "broken"),
+    (2, "schema.none", "'high'", False, "NOT graph AND NOT micro"),
+    (2, "schema.jsonld_present", "'info'", True, "graph"),
+    (2, "schema.microdata_only", "'low'", True, "micro AND NOT graph"),
+    (2, "schema.content_entity", "'info'", True, "graph"),
+    (2, "schema.sameas", "'info'", True, "graph"),
+    (2, "schema.no_identity", "'medium'", False, "micro AND NOT graph"),
+    (3, "structure.single_h1", "'info'", True, "tops = 1"),
+    (3, "structure.no_h1", "'medium'", False, "tops = 0"),
+    (3, "structure.multiple_h1", "'low'", False, "tops > 1"),
+    (3, "structure.hierarchy_ok", "'info'", True, "len(levels) >= 2 AND skips = 0"),
+    (3, "structure.hierarchy_skips", "'low'", False, "len(levels) >= 2 AND skips > 0"),
+    (3, "structure.title_length", "'low'", False, "title <> '' AND length(title) NOT BETWEEN 15 AND 70"),
+    (3, "structure.no_title", "'high'", False, "title = ''"),
+    (3, "structure.no_landmarks", "'medium'", False, "NOT (article OR nav OR footer)"),
+    (3, "structure.no_main_landmark", "'low'", False, "(nav OR footer) AND NOT article"),
+    (3, "structure.no_lists", "'low'", False, "uls + ols + tables = 0"),
+    (4, "meta.no_description", "'medium'", False, "NOT described"),
+    (4, "meta.no_canonical", "'low'", False, "NOT described"),
+    (4, "meta.no_social", "'low'", False, "NOT described"),
+    (4, "meta.no_lang", "'low'", False, "lang = ''"),
+    (4, "meta.no_author", "'medium'", False, "NOT graph"),
+    (4, "meta.author_present", "'info'", True, "graph"),
+    (4, "meta.no_date", "'low'", False, "NOT graph"),
+    (5, "llms.present", "'info'", True, "here"),
+    (5, "llms.well_formed", "'info'", True, "here AND shaped"),
+    (5, "llms.malformed", "'low'", False, "here AND NOT shaped"),
+    (5, "llms.full_present", "'info'", True, "here AND whole"),
+    (5, "llms.absent", "'medium'", False, "NOT here"),
+)
+FINDINGS = f"""
+tp AS (SELECT *, len(list_filter(levels, lambda x: x = '1')) AS tops, [22 - s1, 22 - s2, 20 - s3, 16 - s4, 12 - s5, 8 - s6] AS gaps FROM aw),
+fl AS (SELECT page_id, gaps, unnest(list_filter([{", ".join(f"CASE WHEN {c} THEN {{'d': {d}, 'n': {n}, 'code': '{code}', 'severity': {sev}, 'positive': {str(good).lower()}}} END" for n, (d, code, sev, good, c) in enumerate(FOUND))}], lambda x: x IS NOT NULL)) AS f FROM tp),
+fs AS (SELECT page_id, f.d AS d, f.n AS n, f.code AS code, f.severity AS severity, f.positive AS positive, {_list(d for d, _ in DIMENSIONS)}[f.d + 1] AS dimension, gaps[f.d + 1]::DOUBLE AS gap,
+              CASE f.severity WHEN 'critical' THEN 5 WHEN 'high' THEN 4 WHEN 'medium' THEN 3 WHEN 'low' THEN 2 ELSE 1 END AS w FROM fl),
+im AS (SELECT *, floor((gap * w / sum(w) OVER (PARTITION BY page_id, d) + 0.01) * 10 + 0.5) / 10 AS impact FROM fs WHERE NOT positive),
+fx AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY impact DESC, w DESC, d, n)::INT AS rank FROM im)"""
+
 ROLL = r"""
 rows_ AS (SELECT site AS origin, page_id AS ord, url, block, s2 + s3 + s4 + s5 AS portion, s1 AS access, s6 AS llms, total, answer, coalesce(shut, 0) > 0 AS disallowed, noindex OR none_ AS noindexed, block <> 'HARD_BLOCK' AS counted FROM aw),
 roll AS (
@@ -237,5 +290,11 @@ ORACLES = {
     "quota_daily": f"""WITH q AS ({duck(inputs.REQUESTS)}), a AS (SELECT *, strftime(ts, '%Y-%m-%d') AS day FROM q), b AS (SELECT *, row_number() OVER (PARTITION BY ip, day ORDER BY ts, event_id) AS r FROM a),
         c AS (SELECT *, coalesce(sum(CASE WHEN r <= 2 THEN 1 ELSE 0 END) OVER (PARTITION BY day ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used FROM b)
         SELECT event_id, day, NOT (used >= 200 OR r > 2) AS allowed, CASE WHEN used >= 200 THEN 'global' WHEN r > 2 THEN 'ip_daily' END AS blocked_by FROM c""",
+    "findings": f"{_with(*PAGE, FINDINGS)} SELECT page_id, dimension, code, severity, positive FROM fs",
+    "fixes_ranked": f"{_with(*PAGE, FINDINGS)} SELECT page_id, rank, code, severity, impact FROM fx",
+    "top_fixes": f"{_with(*PAGE, FINDINGS)} SELECT page_id, rank, code FROM fx WHERE rank <= 5",
+    "page_report": f"""{_with(*PAGE, FINDINGS)} SELECT page_id, url, site AS origin, block, reason, s1 AS "aiCrawlerAccess", s2 AS "contentExtractability", s3 AS "structuredData", s4 AS "semanticStructure", s5 AS "metadataProvenance", s6 AS "llmsTxt", total, grade, answer AS answers,
+        coalesce(k, 0)::INT AS n_fixes, ((block <> 'OK')::INT + (shut IS NULL)::INT)::INT AS n_notes FROM aw LEFT JOIN (SELECT page_id, count(*) AS k FROM fx GROUP BY 1) USING (page_id)""",
+    "nav_links": rf"""{_with(FEATURES)}, hr AS (SELECT page_id, site, regexp_extract_all(plain, '<a href="([^"]*)"', 1) AS l FROM ft) SELECT page_id, i::INT AS ord, site || l[i + 1] AS link FROM hr, unnest(range(len(l))) t(i)""",
     "stream_quota": """SELECT strftime(ts, '%Y-%m-%d') AS day, user_id AS ip, count(*) AS n FROM events GROUP BY 1, 2""",
 }
