@@ -230,6 +230,27 @@ def _with(*parts: str) -> str:
     return "WITH " + ",".join(parts)
 
 
+SAFETY = (
+    ("https://example.com/{}", "ok"),
+    ("http://10.0.0.{}/", "private_ipv4"),
+    ("http://172.15.0.1/{}", "ok"),
+    ("http://172.31.255.255/{}", "private_ipv4"),
+    ("http://2130706433/{}", "private_ipv4"),
+    ("http://0x7f.1/{}", "private_ipv4"),
+    ("http://0177.0.0.1/{}", "private_ipv4"),
+    ("http://134744072/{}", "ok"),
+    ("http://LOCALHOST:8080/{}", "internal_hostname"),
+    ("http://router/{}", "internal_hostname"),
+    ("http://foo.internal/{}", "internal_hostname"),
+    ("ftp://example.com/{}", "scheme_not_allowed:ftp"),
+    ("not a url {}", "invalid_url"),
+    ("http://[::1]/{}", "private_ipv6"),
+    ("http://[2001:4860:4860::8888]/{}", "ok"),
+    ("http://100.64.0.1/{}", "private_ipv4"),
+    ("http://192.0.9.9/{}", "private_ipv4"),
+    ("https://user:pw@sub.domain.co.id:443/a/{}", "ok"),
+)
+
 PAGE = (FEATURES, ROBOTS, ACCESS, LLMS, SCORES, ANSWERS)
 SECTIONS = rf"""
 cd AS (SELECT DISTINCT {inputs.ORIGIN} AS origin, url, lower(regexp_extract(url, '^https?://[^/?#]+/([^/?#]+)/[^/?#]', 1)) AS first FROM pages),
@@ -296,5 +317,18 @@ ORACLES = {
     "page_report": f"""{_with(*PAGE, FINDINGS)} SELECT page_id, url, site AS origin, block, reason, s1 AS "aiCrawlerAccess", s2 AS "contentExtractability", s3 AS "structuredData", s4 AS "semanticStructure", s5 AS "metadataProvenance", s6 AS "llmsTxt", total, grade, answer AS answers,
         coalesce(k, 0)::INT AS n_fixes, ((block <> 'OK')::INT + (shut IS NULL)::INT)::INT AS n_notes FROM aw LEFT JOIN (SELECT page_id, count(*) AS k FROM fx GROUP BY 1) USING (page_id)""",
     "nav_links": rf"""{_with(FEATURES)}, hr AS (SELECT page_id, site, regexp_extract_all(plain, '<a href="([^"]*)"', 1) AS l FROM ft) SELECT page_id, i::INT AS ord, site || l[i + 1] AS link FROM hr, unnest(range(len(l))) t(i)""",
+    # Reasons by the number of the case, written out apart from the rules.
+    "ssrf_urls": f"""WITH c(k, target, reason) AS (VALUES {", ".join(f"({k}, '{u}', '{r}')" for k, (u, r) in enumerate(SAFETY))})
+        SELECT page_id, replace(target, '{{}}', (page_id % 200)::VARCHAR) AS target, reason = 'ok' AS ok, reason FROM pages JOIN c ON page_id % {len(SAFETY)} = k""",
+    "admission_outcome": """WITH v AS (
+            SELECT page_id, ['POST', 'POST', 'POST', 'GET', 'OPTIONS', 'POST'][1 + page_id % 6] AS method, ['/scan', '/scan-site', '/health', '/scan', '/other'][1 + (page_id // 2) % 5] AS path,
+                   ['https://a.example', NULL, 'https://b.example', 'https://a.example'][1 + (page_id // 3) % 4] AS origin, ['https://a.example/x', 'https://c.example/', ''][1 + (page_id // 5) % 3] AS referer,
+                   ['ok', 'blocked_target', 'invalid_json', 'url_required', 'invalid_url_scheme', 'turnstile_required', 'ok'][1 + page_id % 7] AS body, page_id % 4 <> 1 AS human FROM pages)
+        SELECT page_id,
+               CASE WHEN method = 'OPTIONS' THEN 204 WHEN method = 'GET' AND path = '/health' THEN 200 WHEN path NOT IN ('/scan', '/scan-site') THEN 404 WHEN method <> 'POST' THEN 405
+                    WHEN origin = 'https://b.example' OR (origin IS NULL AND referer <> 'https://a.example/x') THEN 403 WHEN body <> 'ok' THEN 400 WHEN NOT human THEN 403 ELSE 200 END AS http_status,
+               CASE WHEN method = 'OPTIONS' OR (method = 'GET' AND path = '/health') THEN NULL WHEN path NOT IN ('/scan', '/scan-site') THEN 'not_found' WHEN method <> 'POST' THEN 'method_not_allowed'
+                    WHEN origin = 'https://b.example' THEN 'forbidden_origin' WHEN origin IS NULL AND referer <> 'https://a.example/x' THEN 'forbidden_referer' WHEN body <> 'ok' THEN body WHEN NOT human THEN 'turnstile_failed' END AS error
+        FROM v""",
     "stream_quota": """SELECT strftime(ts, '%Y-%m-%d') AS day, user_id AS ip, count(*) AS n FROM events GROUP BY 1, 2""",
 }
