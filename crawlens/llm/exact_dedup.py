@@ -31,6 +31,10 @@ STATE = {
 }
 
 
+#: Parts that the texts of one digest are dealt to before their least and greatest are combined.
+PARTS = 16
+
+
 def fold(keys: DataFrame, checkpoint: str) -> DataFrame:
     """Run the rows of `keys` through the keyed state; per digest: keep, n.
 
@@ -73,11 +77,16 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dig
     spark = docs.sparkSession
     if not keys.inputFiles() or keys.isEmpty():
         return keys.select("place", "sha256", F.col("place").alias("keep"), F.lit(1).cast("long").alias("n"))
-    state = fold(keys.select("place", "digest"), fresh_dir(spark, "dedup-state"))
+    # Written, so that the joins below read it behind an exchange of their own, which adaptive execution can split.
+    state = staged(fold(keys.select("place", "digest"), fresh_dir(spark, "dedup-state")), "dedup-classes")
 
     # Hits: the texts themselves, read again; equal texts have an equal least and greatest.
-    hits = state.where("n > 1").select("digest")
-    clash = texts.select("digest", "text").join(hits.hint("shuffle_hash"), "digest", "left_semi").groupBy("digest").agg(F.min("text").alias("lo"), F.max("text").alias("hi")).where("lo != hi").select("digest")
+    # A third of all rows may share a digest, so its texts meet the hit in PARTS parts, each combined by itself.
+    part = F.pmod(F.xxhash64("place"), F.lit(PARTS)).cast("int")
+    hits = state.where("n > 1").select("digest", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("part"))
+    met = texts.select("digest", part.alias("part"), "text").join(hits.hint("shuffle_hash"), ["digest", "part"], "left_semi")
+    some = met.groupBy("digest", "part").agg(F.min("text").alias("lo"), F.max("text").alias("hi"))
+    clash = some.groupBy("digest").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo != hi").select("digest")
     clash = clash.checkpoint()
     out = keys.join(state, "digest").select("place", "digest", "sha256", "keep", "n")
     if clash.isEmpty():
