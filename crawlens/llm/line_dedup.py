@@ -18,10 +18,14 @@ from pyspark.sql import functions as F
 
 from crawlens.llm.urls import host_of
 
-HIDDEN = r"(?is)<script[^>]*>.*?</script\s*>|<style[^>]*>.*?</style\s*>|<noscript[^>]*>.*?</noscript\s*>|<!--.*?-->"
+#: Parts that a host's pages are dealt to when they meet its dropped lines.
+PARTS = 64
+
+HIDDEN = r"(?is)<(?:script[^>]*>.*?</script\s*>|style[^>]*>.*?</style\s*>|noscript[^>]*>.*?</noscript\s*>|!--.*?-->)"
 BLOCK = r"(?i)</?(?:html|head|title|body|p|div|section|article|main|header|footer|nav|aside|ul|ol|li|table|tr|h1|h2|h3|h4|h5|h6|br)(?:[\s/][^>]*)?>"
 TAG = r"<[^>]*>"
-SPACE = r"[ \t\r\f]+"
+#: White space that isn't one blank already: most isn't touched.
+SPACE = r"[ \t\r\f]{2,}|[\t\r\f]"
 
 
 def lines_of(html: str) -> Column:
@@ -46,8 +50,10 @@ def dropped_lines(lines: DataFrame, ratio: float, min_pages: int) -> DataFrame:
 def cleaned(pages: DataFrame, ratio: float = 0.3, min_pages: int = 5, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """id, host, n_lines, n_dropped, text: the kept lines, joined by line feeds."""
     lines = pages.select(F.col(id_col), host_of(url_col).alias("host"), lines_of(html_col).alias("lines"))
-    known = lines.join(dropped_lines(lines, ratio, min_pages), "host", "left")
-    kept = F.filter("lines", lambda x: ~F.coalesce(F.array_contains(F.col("dropped"), key(x)), F.lit(False)))
+    # One host may hold a third of the pages: its pages are dealt to PARTS keys, its one array is copied to each.
+    dropped = dropped_lines(lines, ratio, min_pages).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    known = lines.withColumn("part", F.pmod(F.xxhash64(id_col), F.lit(PARTS)).cast("int")).join(dropped, ["host", "part"], "left")
+    kept = F.when(F.col("dropped").isNull(), F.col("lines")).otherwise(F.filter("lines", lambda x: ~F.array_contains(F.col("dropped"), key(x))))
     out = known.select(id_col, "host", F.size("lines").cast("long").alias("n_lines"), kept.alias("kept"))
     return out.select(id_col, "host", "n_lines", (F.col("n_lines") - F.size("kept")).alias("n_dropped"), F.array_join("kept", "\n").alias("text"))
 
