@@ -5,7 +5,9 @@ from crawlens import session
 
 @pytest.fixture(scope="session")
 def spark():
-    s = session.build("local[4]", 4, **{"spark.driver.memory": "3g"})
+    # Small tables: compiling the plans would take far longer than interpreting them.
+    quick = {"spark.sql.codegen.wholeStage": "false", "spark.sql.codegen.factoryMode": "NO_CODEGEN"}
+    s = session.build("local[4]", 4, **{"spark.driver.memory": "3g"}, **quick)
     s.sparkContext.setLogLevel("ERROR")
     yield s
     s.stop()
