@@ -9,8 +9,10 @@ language. Prediction runs forward-backward over the whole text, so that in code-
 text each word has its own distribution; a document's language has the largest sum of word
 posteriors and its score is their mean.
 
-The model is fitted on the driver on at most SAMPLE labelled documents, those with the
-least hash of their identifier; it is of fixed size and sent to the executors once.
+The model is fitted on the driver on at most SAMPLE labelled documents: those of up to LONG
+characters by the least hash of their identifier, then longer ones by length, so that what
+the driver holds doesn't depend on the longest texts. It is of fixed size and sent to the
+executors once.
 
 Defined results: `und` with score 0 for null texts and texts without a letter, and for all
 texts where there is no labelled document; ties between languages go to the first in order.
@@ -31,6 +33,8 @@ from crawlens.llm.common import batches_of
 
 #: Labelled documents the model is fitted on at most.
 SAMPLE = 400
+#: Characters beyond which a labelled text comes after all others in the sample, the shortest of them first.
+LONG = 20_000
 #: Words of one sequence; a longer text is several.
 STEPS = 64
 BITS = 17
@@ -235,13 +239,16 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 
 def model_of(docs: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model | None:
-    """Fit on the labelled rows that aren't held out, at most `sample`, of least hash."""
-    rows = docs.where(~held_out(id_col) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.xxhash64(id_col).alias("h"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    least = [r.h for r in rows.select("h").orderBy("h").limit(sample).collect()]
+    """Fit on the labelled rows that aren't held out, at most `sample`, of least length beyond LONG and least hash."""
+    rows = docs.where(~held_out(id_col) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
+        F.greatest(F.length(text_col), F.lit(LONG)).alias("size"), F.xxhash64(id_col).alias("h"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")
+    )
+    least = rows.select("size", "h").orderBy("size", "h").limit(sample).collect()
     if not least:
         return None
-    got = rows.where(F.col("h") <= F.lit(least[-1])).limit(sample).collect()
-    got.sort(key=lambda r: (r.h, r.text, r.lang))
+    size, h = least[-1]
+    got = rows.where((F.col("size") < size) | ((F.col("size") == size) & (F.col("h") <= h))).limit(sample).collect()
+    got.sort(key=lambda r: (r.size, r.h, r.text, r.lang))
     return fitted([r.text for r in got], [r.lang for r in got])
 
 

@@ -39,8 +39,8 @@ SEED = 42
 TILE = 4096
 #: Rows of a tile compared at once.
 STRIP = 256
-#: Candidates' shingle sets a tile holds about.
-SET_TILE = 256
+#: Candidates' shingle sets a tile holds about, and shingles of all of them (8 bytes each) where the sets are large.
+SET_TILE, SET_SHINGLES = 256, 1 << 20
 LANES = 4
 #: At Jaccard 0.8 (cosine 0.889 for equal sizes) a bit differs with probability 0.152: 39 of 256 bits, deviation 6; 10 of 64, deviation 3.
 WIDE, WIDE_FIRST = 57, 21
@@ -179,17 +179,18 @@ def offsets(dims: int, radius: int) -> list[int]:
     return sorted(set(found), key=lambda n: (n != 0, n))
 
 
-def linked(classes: DataFrame, key: Column, around: list[int], fields: list[str], spec: dict, size: int) -> tuple[DataFrame, DataFrame]:
+def linked(classes: DataFrame, key: Column, around: list[int], fields: list[str], spec: dict, load: Column) -> tuple[DataFrame, DataFrame]:
     """homes (node, home: the first of its links' component inside its tile) and the links (u, v) between homes.
 
     All pairs of classes in tiles whose keys differ by one of `around` are compared. First
     each tile is joined in itself; then the pairs of tiles, dealt evenly whatever the keys'
     sizes, add links between what is still apart, so that a group of near copies leaves
     few links for each pair of tiles, not some for each copy. classes: staged; node and fields.
+    load: how many tiles the classes of one key fill, an aggregate.
     """
     keyed = classes.select("node", *fields, key.alias("key"))
     # Keys are bounded in number (population counts, logarithms of sizes), not by the rows.
-    index = keyed.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias("tiles"))
+    index = keyed.groupBy("key").agg(F.ceil(load).cast("int").alias("tiles"))
     tiled = keyed.join(F.broadcast(index), "key").withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
     packed = tiled.groupBy("key", "tile").agg(F.collect_list(F.struct("node", *fields)).alias("rows"))
 
@@ -274,7 +275,7 @@ def components(docs: DataFrame, k: int = 3, radius: int = 2, id_col: str = "doc_
     """id, fingerprint, component_id: least id reachable over links of `radius` bits or fewer."""
     prints = staged(fingerprints(docs, k, id_col, text_col), "fingerprints")
     classes = numbered(prints.groupBy("f0").agg(F.min("id").alias("first")), "fingerprint-classes")
-    homes, links = linked(classes, code(words16(F.col("f0"))), offsets(4, radius), ["f0"], {"radius": radius}, TILE)
+    homes, links = linked(classes, code(words16(F.col("f0"))), offsets(4, radius), ["f0"], {"radius": radius}, F.count(F.lit(1)) / TILE)
     named = labelled(classes, homes, links)
     out = prints.join(named.select("f0", "component_id"), "f0")
     return out.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), "component_id")
@@ -316,7 +317,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, similarity: float = SIMILARITY,
     classes = numbered(prints.groupBy("digest", "n", *names).agg(F.min(place).alias("place"), F.min("id").alias("first")), "sketch-classes")
     band = F.floor(F.log(F.greatest(F.col("n"), F.lit(1)).cast("double")) / F.log(F.lit(1 / similarity)) + 1e-9).cast("long")
     spec = {"radius": WIDE_FIRST, "total": WIDE, "ratio": similarity}
-    homes, wide = linked(classes, band, [0, 1], [*names, "n"], spec, TILE)
+    homes, wide = linked(classes, band, [0, 1], [*names, "n"], spec, F.count(F.lit(1)) / TILE)
     inside = homes.where("node <> home").select(F.col("node").alias("u"), F.col("home").alias("v"))
     wide = wide.unionByName(inside).checkpoint()
 
@@ -332,7 +333,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, similarity: float = SIMILARITY,
 
     full = rows.select("text", "__crawlens_file", "__crawlens_row").join(wanted.hint("shuffle_hash"), ["__crawlens_file", "__crawlens_row"]).select("text", "node", "n", *names)
     with_sets = staged(full.mapInArrow(sets, f"set array<bigint>, node bigint, n bigint, {lanes}"), "candidate-sets")
-    homes, links = linked(with_sets, band, [0, 1], [*names, "n", "set"], spec | {"sets": True}, SET_TILE)
+    load = F.greatest(F.count(F.lit(1)) / SET_TILE, F.sum("n") / SET_SHINGLES)
+    homes, links = linked(with_sets, band, [0, 1], [*names, "n", "set"], spec | {"sets": True}, load)
     named = labelled(classes, homes, links).select("digest", "component_id", "root")
     return prints.join(named, "digest").select(F.col("id").alias(id_col), "__crawlens_file", "__crawlens_row", "component_id", "root")
 

@@ -32,7 +32,7 @@ RULES = (
 )
 #: Words of hosts that nobody wants, and of hosts that are fine; the labelled table is made of them.
 BAD = ("cheap-pills", "spam-farm", "casino", "free-viagra", "xxx-cams", "payday-loans", "replica-watches", "adult-dating", "torrent-crack", "win-prizes", "poker-bonus", "weight-loss-miracle", "click-farm", "link-farm", "porn-tube", "buy-followers")
-GOOD = ("library", "university", "news", "weather", "garden", "history", "science", "recipes", "museum", "travel", "music", "health", "sports", "school", "city", "books", "kernel", "theatre", "thread", "tention", "thesis", "mother", "nation", "heron", "ether")
+GOOD = ("library", "university", "news", "weather", "garden", "history", "science", "recipes", "museum", "travel", "music", "health", "sports", "school", "city", "books", "bakery", "council", "gallery", "hospital", "journal", "kitchen", "market", "orchestra", "park", "physics", "poetry", "railway", "recycling", "stadium", "village", "weaving", "zoo", "archive", "bank", "chess", "dentist", "forum", "geology", "hotel", "insurance", "law", "painting")
 ENDS = ("com", "net", "org")
 
 
