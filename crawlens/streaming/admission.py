@@ -79,6 +79,9 @@ def stream_daily(requests: DataFrame, per_ip: int = DAILY_PER_IP, overall: int =
     """Streaming form of `weighted` with a state for each day; counters end COUNTER_HOURS after their last request.
 
     Rows of one trigger are decided in order of ts; later triggers go on from the counters.
+    Time is that of the requests: one that is COUNTER_HOURS or more behind the newest has
+    no counter any more and gets no decision. (By the clock, there would always be another
+    batch to run for timeouts, and an availableNow query would never end.)
     """
     from pyspark.sql.streaming.state import GroupStateTimeout
 
@@ -97,16 +100,17 @@ def stream_daily(requests: DataFrame, per_ip: int = DAILY_PER_IP, overall: int =
                 have[ip] = have.get(ip, 0) + int(n)
             out.append((e, key[0], by is None, by))
         state.update((total, list(have), list(have.values())))
-        state.setTimeoutDuration(COUNTER_HOURS * 3_600_000)
+        # A timeout must lie beyond the watermark.
+        state.setTimeoutTimestamp(max(int(rows.ms.max()), state.getCurrentWatermarkMs()) + COUNTER_HOURS * 3_600_000)
         yield pd.DataFrame(out, columns=["event_id", "day", "allowed", "blocked_by"])
 
-    keyed = requests.withColumn("day", day())
+    keyed = requests.withWatermark("ts", f"{COUNTER_HOURS} hours").withColumn("day", day()).withColumn("ms", F.unix_millis("ts"))
     return keyed.groupBy("day").applyInPandasWithState(
         run,
         "event_id bigint, day string, allowed boolean, blocked_by string",
         "total long, ips array<bigint>, counts array<int>",
         "append",
-        GroupStateTimeout.ProcessingTimeTimeout,
+        GroupStateTimeout.EventTimeTimeout,
     )
 
 
