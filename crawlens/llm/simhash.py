@@ -9,9 +9,12 @@ by population count are skipped likewise. Of each pair of tiles only a spanning
 its links leaves the task, so a group of n copies never makes n^2 rows.
 
 `components` is the fingerprint operator (links at `radius` bits). `near_duplicates` takes
-shingle sets of five words and Jaccard similarity 0.8 or more: candidates by SimHash of
-256 bits at a wide radius, tiled by set size (sizes beyond the ratio 0.8 can't be that
-similar), then an exact comparison of the candidates' shingle sets inside the tiles.
+shingle sets of five words and Jaccard similarity 0.8 or more, and loses no pair: two sets
+of that similarity share a shingle among the first n - ceil(0.8 n) + 1 of each, in any
+common order of shingles (the prefix filter). Texts are grouped by the chains of shared
+shingles of their prefixes, and inside a group all sets are compared exactly. The order
+puts shingles that are frequent in a sample last; the sample only changes how much is
+compared, not what is found.
 
 Defined results: null text counts as empty; a text without words has fingerprint zero
 (and an empty shingle set, equal to other empty sets); words are runs of anything but
@@ -22,13 +25,13 @@ null ids don't win a component but get one; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import accumulate, product
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from crawlens.llm.common import batches_of, located, staged
@@ -41,9 +44,12 @@ TILE = 4096
 STRIP = 256
 #: Candidates' shingle sets a tile holds about, and shingles of all of them (8 bytes each) where the sets are large.
 SET_TILE, SET_SHINGLES = 256, 1 << 20
-LANES = 4
-#: At Jaccard 0.8 (cosine 0.889 for equal sizes) a bit differs with probability 0.152: 39 of 256 bits, deviation 6; 10 of 64, deviation 3.
-WIDE, WIDE_FIRST = 57, 21
+#: Texts sampled for frequent shingles (about), and how many of those are put last in the order at most.
+SAMPLE, FREQUENT = 10_000, 1 << 17
+#: Columns of an incidence matrix.
+WIDTH = 4096
+#: For rounding: what isn't apart by more counts as equal.
+EPS = 1e-9
 SIMILARITY = 0.8
 
 
@@ -69,14 +75,39 @@ def majority(hashes: np.ndarray) -> int:
     return int(np.packbits(count * 2 > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def mixed(hashes: np.ndarray, lane: int) -> np.ndarray:
-    """Another 64 bits from each hash (splitmix64's finaliser); lane 0 is the hash itself."""
-    if not lane:
+def prefix(hashes: np.ndarray, frequent: tuple[np.ndarray, np.ndarray], similarity: float) -> np.ndarray:
+    """The first n - ceil(similarity * n) + 1 of a sorted set's shingles by frequency in the sample, then hash.
+
+    Two sets of at least that similarity share one of theirs. frequent: sorted hashes and their counts.
+    """
+    n = len(hashes)
+    if not n:
         return hashes
-    z = hashes + np.uint64(lane * 0x9E3779B97F4A7C15 % (1 << 64))
-    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return z ^ (z >> np.uint64(31))
+    first = min(n, n - int(np.ceil(similarity * n - EPS)) + 1)
+    known, count = frequent
+    if not len(known):
+        return hashes[:first]
+    at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+    return hashes[np.argsort(np.where(known[at] == hashes, count[at], 0), kind="stable")[:first]]
+
+
+def overlaps(left: list[np.ndarray], right: list[np.ndarray] | None) -> np.ndarray:
+    """How many elements each set of left has in common with each of right (None: left itself)."""
+    sets = left if right is None else [*left, *right]
+    a = len(left)
+    row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    _, col, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    order = np.argsort(col, kind="stable")
+    order = order[count[col[order]] > 1]
+    row, col = row[order], (np.cumsum(count > 1) - 1)[col[order]]
+    out = np.zeros((a, len(sets) - a if right is not None else a), np.float32)
+    width = min(WIDTH, int(col[-1]) + 1) if len(col) else 1
+    for lo in range(0, int(col[-1]) + 1 if len(col) else 0, width):
+        x, y = np.searchsorted(col, [lo, lo + width])
+        held = np.zeros((len(sets), width), np.float32)
+        held[row[x:y], col[x:y] - lo] = 1
+        out += held[:a] @ (held[a:] if right is not None else held).T
+    return out
 
 
 def signed(x: int) -> int:
@@ -134,24 +165,16 @@ def close_pairs(a: np.ndarray, b: np.ndarray, radius: int, same: bool) -> Iterat
 
 
 def joined(left: dict, right: dict, same: bool, spec: dict) -> Forest:
-    """The forest of the links between two tiles (same: inside one). spec: radius, and for sets total, ratio."""
-    a, b = left["f0"], right["f0"]
+    """The forest of the links between two tiles (same: inside one). spec: radius, or for sets ratio."""
     forest = Forest(left["home"] if same else np.concatenate([left["home"], right["home"]]))
-    shift = 0 if same else len(a)
-    for i, j in close_pairs(a, b, spec["radius"], same):
-        if "total" in spec and len(i):
-            apart = sum(np.bitwise_count(left[f"f{k}"][i] ^ right[f"f{k}"][j]).astype(np.int16) for k in range(LANES))
-            n, m = left["n"][i], right["n"][j]
-            near = (apart <= spec["total"]) & (np.minimum(n, m) >= spec["ratio"] * np.maximum(n, m))
-            i, j = i[near], j[near]
-        if "sets" in spec:
-            for x, y in zip(i.tolist(), j.tolist()):
-                if forest.root[x] != forest.root[y + shift]:
-                    s, t = left["set"][x], right["set"][y]
-                    both = len(np.intersect1d(s, t, assume_unique=True))
-                    if both >= spec["ratio"] * (len(s) + len(t) - both):
-                        forest.add(np.array([x]), np.array([y + shift]))
-        else:
+    shift = 0 if same else len(left["home"])
+    if "ratio" in spec:
+        both = overlaps(left["set"], None if same else right["set"])
+        n, m = (np.array([len(x) for x in t["set"]], np.int64) for t in (left, right))
+        i, j = np.nonzero(both + EPS >= spec["ratio"] * (n[:, None] + m[None, :] - both.astype(float)))
+        forest.add(i, j + shift)
+    else:
+        for i, j in close_pairs(left["f0"], right["f0"], spec["radius"], same):
             forest.add(i, j + shift)
     return forest
 
@@ -179,53 +202,67 @@ def offsets(dims: int, radius: int) -> list[int]:
     return sorted(set(found), key=lambda n: (n != 0, n))
 
 
-def linked(classes: DataFrame, key: Column, around: list[int], fields: list[str], spec: dict, load: Column) -> tuple[DataFrame, DataFrame]:
-    """homes (node, home: the first of its links' component inside its tile) and the links (u, v) between homes.
+def unpacked(rows, homes, fields: list[str]) -> dict:
+    """A tile's columns."""
+    got = {"node": rows.field("node").to_numpy(zero_copy_only=False)}
+    got["home"] = got["node"] if homes is None else homes.to_numpy(zero_copy_only=False)
+    for f in fields:
+        col = rows.field(f)
+        if f == "set":
+            flat, at = col.flatten().to_numpy(zero_copy_only=False).view(np.uint64), col.offsets.to_numpy()
+            got[f] = [flat[x:y] for x, y in zip(at - at[0], at[1:] - at[0])]
+        else:
+            got[f] = col.to_numpy(zero_copy_only=False).view(np.uint64)
+    return got
 
-    All pairs of classes in tiles whose keys differ by one of `around` are compared. First
-    each tile is joined in itself; then the pairs of tiles, dealt evenly whatever the keys'
-    sizes, add links between what is still apart, so that a group of near copies leaves
-    few links for each pair of tiles, not some for each copy. classes: staged; node and fields.
-    load: how many tiles the classes of one key fill, an aggregate.
-    """
-    keyed = classes.select("node", *fields, key.alias("key"))
-    # Keys are bounded in number (population counts, logarithms of sizes), not by the rows.
-    index = keyed.groupBy("key").agg(F.ceil(load).cast("int").alias("tiles"))
-    tiled = keyed.join(F.broadcast(index), "key").withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
-    packed = tiled.groupBy("key", "tile").agg(F.collect_list(F.struct("node", *fields)).alias("rows"))
 
-    def unpack(rows, homes) -> dict:
-        got = {"node": rows.field("node").to_numpy(zero_copy_only=False)}
-        got["home"] = got["node"] if homes is None else homes.to_numpy(zero_copy_only=False)
-        for f in fields:
-            col = rows.field(f)
-            if f == "set":
-                flat, at = col.flatten().to_numpy(zero_copy_only=False).view(np.uint64), col.offsets.to_numpy()
-                got[f] = [flat[x:y] for x, y in zip(at - at[0], at[1:] - at[0])]
-            else:
-                arr = col.to_numpy(zero_copy_only=False)
-                got[f] = arr.view(np.uint64) if f[0] == "f" else arr
-        return got
+def joined_inside(packed: DataFrame, fields: list[str], spec: dict) -> tuple[DataFrame, DataFrame]:
+    """Tiles (key, tile, rows) joined each in itself: with homes, staged; and homes by node."""
 
     def inside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
             for batch in batches_of(big, 1):
-                tile = unpack(batch.column(2)[0].values, None)
+                tile = unpacked(batch.column(2)[0].values, None, fields)
                 forest = joined(tile, tile, True, spec)
                 homes = pa.array([forest.home[forest.root]], pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays([*batch.columns, homes], names=["key", "tile", "rows", "homes"])
 
+    kinds = [packed.schema[c].dataType.simpleString() for c in ("key", "rows")]
+    tiles = staged(packed.mapInArrow(inside, f"key {kinds[0]}, tile int, rows {kinds[1]}, homes array<bigint>"), "tiles")
+    homes = tiles.select(F.explode(F.arrays_zip(F.col("rows.node").alias("node"), F.col("homes").alias("home"))).alias("x")).select("x.node", "x.home")
+    return tiles, homes
+
+
+def joined_between(work: DataFrame, fields: list[str], spec: dict) -> DataFrame:
+    """Links (u, v) between the homes of pairs of tiles (left, lh, right, rh)."""
+
     def between(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
             for batch in batches_of(big, 1):
                 left, lh, right, rh = (batch.column(i)[0].values for i in range(4))
-                u, v = joined(unpack(left, lh), unpack(right, rh), False, spec).links()
+                u, v = joined(unpacked(left, lh, fields), unpacked(right, rh, fields), False, spec).links()
                 if len(u):
                     yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
 
-    kinds = ", ".join(f"{f}:{classes.schema[f].dataType.simpleString()}" for f in ("node", *fields))
-    tiles = staged(packed.mapInArrow(inside, f"key bigint, tile int, rows array<struct<{kinds}>>, homes array<bigint>"), "tiles")
-    homes = tiles.select(F.explode(F.arrays_zip(F.col("rows.node").alias("node"), F.col("homes").alias("home"))).alias("x")).select("x.node", "x.home")
+    return work.mapInArrow(between, "u bigint, v bigint")
+
+
+def linked(classes: DataFrame, key: Column, around: list[int], fields: list[str], spec: dict, load: Column) -> tuple[DataFrame, DataFrame]:
+    """homes (node, home: the first of its links' component inside its tile) and the links (u, v) between homes.
+
+    All pairs of classes in tiles whose keys differ by one of `around` are compared. First
+    each tile is joined in itself; then the pairs of tiles, dealt evenly whatever the keys'
+    sizes, add links between what is still apart, so that a group of near copies leaves
+    few links for each pair of tiles, not some for each copy. classes: staged; node and fields.
+    load: how many tiles the classes of one key fill, an aggregate.
+    """
+    keyed = classes.select("node", *fields, key.alias("key"))
+    # Keys are bounded in number (population counts, logarithms of sizes), not by the rows.
+    index = keyed.groupBy("key").agg(F.ceil(load).cast("int").alias("tiles"))
+    tiled = keyed.join(F.broadcast(index), "key").withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
+    packed = tiled.groupBy("key", "tile").agg(F.collect_list(F.struct("node", *fields)).alias("rows"))
+
+    tiles, homes = joined_inside(packed, fields, spec)
 
     left = index.select(F.col("key").alias("lk"), F.col("tiles").alias("lt"), F.explode(F.array(*[F.lit(o).cast("long") for o in around])).alias("o"))
     pairs = (
@@ -238,7 +275,40 @@ def linked(classes: DataFrame, key: Column, around: list[int], fields: list[str]
     one = tiles.select(F.col("key").alias("lk"), F.col("tile").alias("li"), F.col("rows").alias("left"), F.col("homes").alias("lh"))
     two = tiles.select(F.col("key").alias("rk"), F.col("tile").alias("ri"), F.col("rows").alias("right"), F.col("homes").alias("rh"))
     work = pairs.join(one, ["lk", "li"]).join(two, ["rk", "ri"]).select("left", "lh", "right", "rh")
-    return homes, work.mapInArrow(between, "u bigint, v bigint")
+    return homes, joined_between(work, fields, spec)
+
+
+def linked_sets(wanted: DataFrame, made: Callable[[DataFrame], DataFrame], spec: dict) -> tuple[DataFrame, DataFrame]:
+    """As `linked`, for sets: all pairs of one root are compared. wanted: staged; node, root, n and what `made` takes to add the column set.
+
+    A root whose sets fill one tile is that tile. Else its sets are dealt by the logarithm of
+    their size, and tiles of sizes beyond the ratio are skipped. Sets are made when their tiles
+    are known, so they are shuffled once.
+    """
+    band = F.floor(F.log(F.greatest(F.col("n"), F.lit(1)).cast("double")) / F.log(F.lit(1 / spec["ratio"])) + EPS).cast("long")
+    load = F.greatest(F.count(F.lit(1)) / SET_TILE, F.sum("n") / SET_SHINGLES)
+    whole = wanted.groupBy("root").agg((load <= 1).alias("whole"))
+    keyed = wanted.join(whole, "root").withColumn("band", F.when(F.col("whole"), F.lit(0).cast("long")).otherwise(band))
+    # Roots that fill more than a tile.
+    index = keyed.where("not whole").groupBy("root", "band").agg(F.ceil(load).cast("int").alias("tiles"))
+    tiled = keyed.join(index, ["root", "band"], "left").withColumn("tile", F.pmod(F.xxhash64("node"), F.coalesce("tiles", F.lit(1))).cast("int"))
+    key = F.struct("root", "band").alias("key")
+    packed = made(tiled.drop("whole", "tiles", "n")).groupBy(key, "tile").agg(F.collect_list(F.struct("node", "set")).alias("rows"))
+    tiles, homes = joined_inside(packed, ["set"], spec)
+
+    left = index.select("root", "band", F.col("tiles").alias("lt"), F.explode(F.array(F.lit(0), F.lit(1))).alias("o"))
+    pairs = (
+        left.withColumn("far", F.col("band") + F.col("o"))
+        .join(index.select("root", F.col("band").alias("far"), F.col("tiles").alias("rt")), ["root", "far"])
+        .withColumn("li", F.explode(F.sequence(F.lit(0), F.col("lt") - 1)))
+        .withColumn("ri", F.explode(F.sequence(F.lit(0), F.col("rt") - 1)))
+        .where("o = 1 or li < ri")
+        .select("root", "band", "li", "far", "ri")
+    )
+    one = tiles.select(F.col("key.root").alias("root"), F.col("key.band").alias("band"), F.col("tile").alias("li"), F.col("rows").alias("left"), F.col("homes").alias("lh"))
+    two = tiles.select(F.col("key.root").alias("root"), F.col("key.band").alias("far"), F.col("tile").alias("ri"), F.col("rows").alias("right"), F.col("homes").alias("rh"))
+    work = pairs.join(one, ["root", "band", "li"]).join(two, ["root", "far", "ri"]).select("left", "lh", "right", "rh")
+    return homes, joined_between(work, ["set"], spec)
 
 
 def numbered(df: DataFrame, name: str) -> DataFrame:
@@ -298,32 +368,33 @@ def near_duplicates(docs: DataFrame, k: int = 5, similarity: float = SIMILARITY,
     """
     rows = located(docs, "near-dup-input").select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), "__crawlens_file", "__crawlens_row")
     kind = docs.schema[id_col].dataType.simpleString()
-    names = [f"f{i}" for i in range(LANES)]
+    sent = docs.sparkSession.sparkContext.broadcast(frequent_shingles(rows, k))
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
             for batch in batches_of(big):
-                made = []
-                for t in batch.column(1).to_pylist():
-                    h = np.unique(shingle_hashes(t, k))
-                    made.append((hashlib.blake2b(h.tobytes(), digest_size=16).digest(), len(h), *(signed(majority(mixed(h, i))) for i in range(LANES))))
-                cols = list(zip(*made))
-                arrays = [pa.array(cols[0], pa.binary()), *(pa.array(c, pa.int64()) for c in cols[1:])]
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), *arrays], names=["id", "__crawlens_file", "__crawlens_row", "digest", "n", *names])
-
-    lanes = ", ".join(f"{f} bigint" for f in names)
-    prints = staged(rows.mapInArrow(sketch, f"id {kind}, __crawlens_file string, __crawlens_row bigint, digest binary, n bigint, {lanes}"), "sketches")
-    place = F.struct("id", "__crawlens_file", "__crawlens_row")
-    classes = numbered(prints.groupBy("digest", "n", *names).agg(F.min(place).alias("place"), F.min("id").alias("first")), "sketch-classes")
-    band = F.floor(F.log(F.greatest(F.col("n"), F.lit(1)).cast("double")) / F.log(F.lit(1 / similarity)) + 1e-9).cast("long")
-    spec = {"radius": WIDE_FIRST, "total": WIDE, "ratio": similarity}
-    homes, wide = linked(classes, band, [0, 1], [*names, "n"], spec, F.count(F.lit(1)) / TILE)
-    inside = homes.where("node <> home").select(F.col("node").alias("u"), F.col("home").alias("v"))
-    wide = wide.unionByName(inside).checkpoint()
+                made = [np.unique(shingle_hashes(t, k)) for t in batch.column(1).to_pylist()]
+                digests = pa.array([hashlib.blake2b(h.tobytes(), digest_size=16).digest() for h in made], pa.binary())
+                firsts = pa.array([prefix(h, sent.value, similarity).view(np.int64) for h in made], pa.list_(pa.int64()))
+                arrays = [batch.column(0), batch.column(2), batch.column(3), digests, pa.array([len(h) for h in made], pa.int64()), firsts]
+                yield pa.RecordBatch.from_arrays(arrays, names=["id", "__crawlens_file", "__crawlens_row", "digest", "n", "prefix"])
 
-    # Candidates, with their shingle sets, are compared exactly.
-    some = wide.select(F.col("u").alias("node")).unionByName(wide.select(F.col("v").alias("node"))).distinct()
-    wanted = classes.join(some.hint("shuffle_hash"), "node", "left_semi").select("node", F.col("place.__crawlens_file").alias("__crawlens_file"), F.col("place.__crawlens_row").alias("__crawlens_row"), "n", *names)
+    prints = staged(rows.mapInArrow(sketch, f"id {kind}, __crawlens_file string, __crawlens_row bigint, digest binary, n bigint, prefix array<bigint>"), "sketches")
+    place = F.struct("id", "__crawlens_file", "__crawlens_row")
+    classes = numbered(prints.groupBy("digest", "n").agg(F.min(place).alias("place"), F.min("id").alias("first")), "sketch-classes")
+
+    # By shingle, in order of size: if any two sets of similar sizes are in its list, so are all neighbours between them.
+    postings = prints.select(F.xxhash64("digest").alias("u"), "n", F.explode("prefix").alias("shingle"))
+    order = Window.partitionBy("shingle").orderBy("n", "u")
+    chained = postings.select("u", "n", F.lag("u").over(order).alias("v"), F.lag("n").over(order).alias("less"))
+    chains = stars(chained.where((F.col("u") != F.col("v")) & (F.col("less") + EPS >= similarity * F.col("n"))).select("u", "v"))
+    grouped = chains.unionByName(chains.select(F.col("v").alias("u"), "v").distinct()).select(F.col("u").alias("c"), F.col("v").alias("root"))
+
+    # The sets of a group are compared exactly.
+    wanted = staged(
+        classes.withColumn("c", F.xxhash64("digest")).join(grouped, "c").select("node", "root", F.col("place.__crawlens_file").alias("__crawlens_file"), F.col("place.__crawlens_row").alias("__crawlens_row"), "n"),
+        "candidates",
+    )
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
@@ -331,14 +402,33 @@ def near_duplicates(docs: DataFrame, k: int = 5, similarity: float = SIMILARITY,
                 made = [np.unique(shingle_hashes(t, k)).view(np.int64) for t in batch.column(0).to_pylist()]
                 yield pa.RecordBatch.from_arrays([pa.array(made, pa.list_(pa.int64())), *batch.columns[1:]], names=["set", *batch.schema.names[1:]])
 
-    full = rows.select("text", "__crawlens_file", "__crawlens_row").join(wanted.hint("shuffle_hash"), ["__crawlens_file", "__crawlens_row"]).select("text", "node", "n", *names)
-    with_sets = staged(full.mapInArrow(sets, f"set array<bigint>, node bigint, n bigint, {lanes}"), "candidate-sets")
-    load = F.greatest(F.count(F.lit(1)) / SET_TILE, F.sum("n") / SET_SHINGLES)
-    homes, links = linked(with_sets, band, [0, 1], [*names, "n", "set"], spec | {"sets": True}, load)
+    def with_sets(tiled: DataFrame) -> DataFrame:
+        full = rows.select("text", "__crawlens_file", "__crawlens_row").join(tiled.hint("shuffle_hash"), ["__crawlens_file", "__crawlens_row"])
+        return full.select("text", "node", "root", "band", "tile").mapInArrow(sets, "set array<bigint>, node bigint, root bigint, band bigint, tile int")
+
+    homes, links = linked_sets(wanted, with_sets, {"ratio": similarity})
     named = labelled(classes, homes, links).select("digest", "component_id", "root")
     return prints.join(named, "digest").select(F.col("id").alias(id_col), "__crawlens_file", "__crawlens_row", "component_id", "root")
 
 
+def frequent_shingles(rows: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes and counts of the FREQUENT most frequent shingles of about SAMPLE texts."""
+    parts = -(-rows.count() // SAMPLE)
+    some = rows.where(F.pmod(F.xxhash64("__crawlens_file", "__crawlens_row"), F.lit(max(parts, 1))) == 0).select("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for big in batches:
+            for batch in batches_of(big):
+                made = [np.unique(shingle_hashes(t, k)).view(np.int64) for t in batch.column(0).to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array(made, pa.list_(pa.int64()))], names=["set"])
+
+    counted = some.mapInArrow(run, "set array<bigint>").select(F.explode("set").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    got = counted.orderBy(F.desc("n"), "h").limit(FREQUENT).collect()
+    known, count = np.array([r.h for r in got], np.int64).view(np.uint64), np.array([r.n for r in got], np.int64)
+    order = np.argsort(known)
+    return known[order], count[order]
+
+
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs, all columns, with one row of each group of near duplicates: that with the least id (ties: the first place)."""
     rows = located(docs, "near-dup-rows")

@@ -282,6 +282,33 @@ def test_near_duplicates(docs, rows, empty, monkeypatch):
     assert simhash.one_of_each(empty).count() == 0
 
 
+def test_near_duplicates_at_the_limit(spark, monkeypatch):
+    # Four shingles against the same and one more: Jaccard 0.8 exactly. And larger pairs beside a frequent passage.
+    monkeypatch.setattr(simhash, "SET_TILE", 16)
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(8))
+    texts = []
+    for _ in range(600):
+        short = " ".join(word() for _ in range(8))
+        texts += [short, f"{short} {word()}"]
+    passage = " ".join(word() for _ in range(60))
+    for n in (20, 28, 100):
+        for _ in range(20):
+            long = [word() for _ in range(n)]
+            more = [word() for _ in range((n + 60 - 4) // 4)]
+            texts += [" ".join([*long, passage]), " ".join([*long, passage, *more])]
+    got = simhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)).collect()
+    sets = [set(simhash.shingle_hashes(t, 5).tolist()) for t in texts]
+    by = {}
+    for i, s in enumerate(sets):
+        for h in s:
+            by.setdefault(h, set()).add(i)
+    near = {(a, b) for a, s in enumerate(sets) for b in set().union(*(by[h] for h in s)) if len(s & sets[b]) >= 0.8 * len(s | sets[b])}
+    where = classes_of(len(sets), lambda a, b: (a, b) in near)
+    assert len(set(where)) < len(texts) - 600
+    assert {r.doc_id: r.component_id for r in got} == dict(enumerate(where))
+
+
 def test_components_of_paths_and_stars(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 160)] + [(200, 200), (300, 301), (301, 300)]
     got = {r.u: r.v for r in components.stars(spark.createDataFrame(links, "u bigint, v bigint")).collect()}
