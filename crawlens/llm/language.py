@@ -6,7 +6,8 @@ mark are its affixes; n is 2 to 4) and its membership in a lexicon of frequent w
 Transition weights between neighbours are learned with them, by gradient ascent on the
 likelihood over sequences of up to STEPS words whose words carry their document's
 language. Prediction runs forward-backward over the whole text, so that in code-switched
-text each word has its own distribution; a document's language has the largest sum of word
+text each word has its own distribution: sequences of STEPS words are run side by side, and
+what enters and leaves each is carried along the text by their transfer matrices. A document's language has the largest sum of word
 posteriors and its score is their mean.
 
 The model is fitted on the driver on at most SAMPLE labelled documents: those of up to LONG
@@ -35,7 +36,7 @@ from crawlens.llm.common import batches_of
 SAMPLE = 400
 #: Characters beyond which a labelled text comes after all others in the sample, the shortest of them first.
 LONG = 20_000
-#: Words of one sequence; a longer text is several.
+#: Words of one sequence; a longer text is several, fitted apart and labelled as one.
 STEPS = 64
 BITS = 17
 SIZES = (2, 3, 4)
@@ -107,18 +108,19 @@ def sequences(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return first, np.minimum(lengths[text] - k * STEPS, STEPS), text
 
 
-def forward_backward(score: np.ndarray, mask: np.ndarray, step: np.ndarray, pairs: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """Posteriors (sequence, place, language) of potentials; expected transitions if pairs."""
+def forward_backward(score: np.ndarray, mask: np.ndarray, step: np.ndarray, pairs: bool = False, enter: np.ndarray | None = None, leave: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Posteriors (sequence, place, language) of potentials; expected transitions if pairs. enter, leave: weights of the first and last place's languages."""
     e = np.exp(score - score.max(2, keepdims=True))
     go = np.exp(step - step.max()).astype(np.float32)
     s, t, k = e.shape
     alpha, beta = np.empty_like(e), np.empty_like(e)
-    alpha[:, 0] = e[:, 0] / e[:, 0].sum(1, keepdims=True)
+    alpha[:, 0] = e[:, 0] if enter is None else e[:, 0] * enter
+    alpha[:, 0] /= alpha[:, 0].sum(1, keepdims=True)
     for i in range(1, t):
         a = (alpha[:, i - 1] @ go) * e[:, i]
         a /= a.sum(1, keepdims=True)
         alpha[:, i] = np.where(mask[:, i, None], a, alpha[:, i - 1])
-    beta[:, -1] = 1
+    beta[:, -1] = 1 if leave is None else leave
     for i in range(t - 2, -1, -1):
         b = (beta[:, i + 1] * e[:, i + 1]) @ go.T
         b /= b.sum(1, keepdims=True)
@@ -134,6 +136,39 @@ def forward_backward(score: np.ndarray, mask: np.ndarray, step: np.ndarray, pair
     return post, moves
 
 
+def transfer(score: np.ndarray, mask: np.ndarray, step: np.ndarray) -> np.ndarray:
+    """For each sequence, the weight of all its paths by first and last language, up to a factor."""
+    e = np.exp(score - score.max(2, keepdims=True))
+    go = np.exp(step - step.max()).astype(np.float32)
+    out = np.eye(e.shape[2], dtype=np.float32) * e[:, 0, None, :]
+    for i in range(1, e.shape[1]):
+        x = (out @ go) * e[:, i, None, :]
+        x /= x.sum((1, 2), keepdims=True)
+        out = np.where(mask[:, i, None, None], x, out)
+    return out
+
+
+def carried(moved: np.ndarray, text: np.ndarray, step: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """enter and leave of each sequence, from the transfer matrices of all; sequences of one text follow each other."""
+    go = np.exp(step - step.max()).astype(np.float32)
+    enter, leave = (np.ones(moved.shape[:2], np.float32) for _ in range(2))
+    start = np.nonzero(np.diff(text, prepend=-1))[0]
+    count = np.diff(start, append=len(text))
+    order = np.argsort(-count, kind="stable")
+    start, count = start[order], count[order]
+    most = int(count[0]) if len(count) else 0
+    longer = np.searchsorted(-count, -np.arange(most + 1), "left")  # texts of more than k sequences
+    for k in range(1, most):
+        at = start[: longer[k]] + k
+        x = np.einsum("si,sij->sj", enter[at - 1], moved[at - 1]) @ go
+        enter[at] = x / x.sum(1, keepdims=True)
+    for k in range(most - 1, 0, -1):
+        at = start[: longer[k]] + k
+        x = np.einsum("sij,sj->si", moved[at], leave[at]) @ go.T
+        leave[at - 1] = x / x.sum(1, keepdims=True)
+    return enter, leave
+
+
 def laid_out(ids: np.ndarray, first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Word numbers by sequence and place, padded; and which places are words."""
     at = first[:, None] + np.arange(STEPS)
@@ -201,6 +236,22 @@ class Tagger:
             self.table = np.concatenate([self.table, self.model.potentials(Features(new))])
         return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
 
+    def whole(self, ids: np.ndarray, lengths: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(text, mask, posteriors) of sequences of texts laid end to end, forward-backward over each whole text."""
+        first, size, text = sequences(lengths)
+        step = self.model.step
+        parts = [slice(at, at + 4096) for at in range(0, len(first), 4096)]
+        moved = np.ones((len(first), len(step), len(step)), np.float32)
+        several = np.repeat(-(-lengths // STEPS) > 1, -(-lengths // STEPS))
+        for at in range(0, len(rows := np.nonzero(several)[0]), 4096):
+            some = rows[at : at + 4096]
+            grid, mask = laid_out(ids, first[some], size[some])
+            moved[some] = transfer(self.table[grid], mask, step)
+        enter, leave = carried(moved, text, step)
+        for part in parts:
+            grid, mask = laid_out(ids, first[part], size[part])
+            yield text[part], mask, forward_backward(self.table[grid], mask, step, enter=enter[part], leave=leave[part])[0]
+
     def posteriors(self, texts: list[list[bytes]]) -> np.ndarray:
         """Mean word posterior of each text (zeros without words)."""
         lengths = np.array([len(w) for w in texts], np.int64)
@@ -208,12 +259,8 @@ class Tagger:
         if not lengths.sum():
             return out
         ids = self.word_ids([w for ws in texts for w in ws])
-        first, size, text = sequences(lengths)
-        for at in range(0, len(first), 4096):
-            part = slice(at, at + 4096)
-            grid, mask = laid_out(ids, first[part], size[part])
-            post, _ = forward_backward(self.table[grid], mask, self.model.step)
-            np.add.at(out, text[part], np.where(mask[..., None], post, 0).sum(1, dtype=float))
+        for text, mask, post in self.whole(ids, lengths):
+            np.add.at(out, text, np.where(mask[..., None], post, 0).sum(1, dtype=float))
         return out / np.maximum(lengths, 1)[:, None]
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
@@ -228,10 +275,8 @@ class Tagger:
         if not ws:
             return []
         ids = self.word_ids(ws)
-        first, size, _ = sequences(np.array([len(ws)]))
-        grid, mask = laid_out(ids, first, size)
-        post, _ = forward_backward(self.table[grid], mask, self.model.step)
-        return [(w.decode("utf-8", "replace"), self.model.languages[k]) for w, k in zip(ws, post[mask].argmax(1))]
+        best = np.concatenate([post[mask].argmax(1) for _, mask, post in self.whole(ids, np.array([len(ws)]))])
+        return [(w.decode("utf-8", "replace"), self.model.languages[k]) for w, k in zip(ws, best)]
 
 
 def held_out(id_col: str = "doc_id") -> Column:

@@ -471,6 +471,24 @@ def test_forward_backward_is_exact():
     assert np.allclose(post[0], want / total, atol=1e-4) and np.allclose(moves, pairs / total, atol=1e-3)
 
 
+def test_language_goes_on_over_cuts(monkeypatch):
+    rng = np.random.default_rng(1)
+    texts = [[f"w{k}".encode() for k in rng.integers(0, 40, n)] for n in (1, 150, 0, 64, 65, 700, 128)]
+    step = rng.normal(size=(3, 3)).astype(np.float32) + 3 * np.eye(3, dtype=np.float32)
+    model = language.Model(["a", "b", "c"], np.zeros((1, 3), np.float32), np.zeros(0, np.uint64), step)
+    monkeypatch.setattr(language.Model, "potentials", lambda self, f: np.random.default_rng(f.n).normal(size=(f.n, 3)).astype(np.float32))
+    tagger = language.Tagger(model)
+    tagger.word_ids([w for ws in texts for w in ws])
+    got = tagger.posteriors(texts)
+    for ws, mean in zip(texts, got):
+        if ws:
+            score = tagger.table[tagger.word_ids(ws)][None]
+            want, _ = language.forward_backward(score, np.ones((1, len(ws)), bool), step)
+            assert np.allclose(mean, want[0].mean(0), atol=1e-4)
+            post = np.concatenate([p[m] for _, m, p in tagger.whole(tagger.word_ids(ws), np.array([len(ws)]))])
+            assert np.allclose(post, want[0], atol=1e-4)
+
+
 def test_code_switching(spark):
     rows = [r for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect() if r.text]
     model = language.fitted([r.text for r in rows], [r.lang for r in rows])
