@@ -10,9 +10,10 @@ text each word has its own distribution: sequences of STEPS words are run side b
 what enters and leaves each is carried along the text by their transfer matrices. A document's language has the largest sum of word
 posteriors and its score is their mean.
 
-The model is fitted on the driver on at most SAMPLE labelled documents: those of up to LONG
-characters by the least hash of their identifier, then longer ones by length, so that what
-the driver holds doesn't depend on the longest texts. It is of fixed size and sent to the
+The model is fitted on the driver on at most SAMPLE labelled documents, dealt to the languages
+in turn, so that each of up to SAMPLE languages has some, however rare: of a language those of
+up to LONG characters by the least hash of their identifier, then longer ones by length, so
+that what the driver holds doesn't depend on the longest texts. The model is of fixed size and sent to the
 executors once.
 
 Defined results: `und` with score 0 for null texts and texts without a letter, and for all
@@ -26,7 +27,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -284,15 +285,21 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 
 def model_of(docs: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model | None:
-    """Fit on the labelled rows that aren't held out, at most `sample`, of least length beyond LONG and least hash."""
+    """Fit on the labelled rows that aren't held out, at most `sample`, dealt to the languages in turn, of least length beyond LONG and least hash."""
     rows = docs.where(~held_out(id_col) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
         F.greatest(F.length(text_col), F.lit(LONG)).alias("size"), F.xxhash64(id_col).alias("h"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")
     )
-    least = rows.select("size", "h").orderBy("size", "h").limit(sample).collect()
-    if not least:
+    ranked = rows.select("size", "h", "lang").withColumn("turn", F.row_number().over(Window.partitionBy("lang").orderBy("size", "h"))).where(F.col("turn") <= sample)
+    last: dict[str, tuple[int, int, int]] = {}
+    for r in ranked.orderBy("turn", "size", "h", "lang").limit(sample).collect():
+        last[r.lang] = (r.turn, r.size, r.h)
+    if not last:
         return None
-    size, h = least[-1]
-    got = rows.where((F.col("size") < size) | ((F.col("size") == size) & (F.col("h") <= h))).limit(sample).collect()
+    ends = docs.sparkSession.createDataFrame([(k, *v) for k, v in last.items()], "lang string, turns int, size_end int, h_end long")
+    near = rows.join(F.broadcast(ends), "lang").where((F.col("size") < F.col("size_end")) | ((F.col("size") == F.col("size_end")) & (F.col("h") <= F.col("h_end"))))
+    # Rows of one identifier have one hash: of those at the end no more than its turns are taken.
+    turn = F.row_number().over(Window.partitionBy("lang").orderBy("size", "h", "text"))
+    got = near.withColumn("turn", turn).where("turn <= turns").select("size", "h", "text", "lang").collect()
     got.sort(key=lambda r: (r.size, r.h, r.text, r.lang))
     return fitted([r.text for r in got], [r.lang for r in got])
 

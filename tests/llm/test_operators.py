@@ -489,6 +489,16 @@ def test_language_goes_on_over_cuts(monkeypatch):
             assert np.allclose(post, want[0], atol=1e-4)
 
 
+def test_rare_language_is_in_the_sample(spark):
+    rows = [(i, f"the cat sat on mat {i}", "en") for i in range(3000)] + [(3000 + i, f"zorp quux vleem brak nidd {i}", "rare") for i in range(6)] + [(None, "le chat noir", "fr")] * 30
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    model = language.model_of(docs, 40)
+    assert model.languages == ["en", "fr", "rare"]
+    got = {r.doc_id: r.lang_pred for r in language.tagged(docs.where("doc_id >= 2990"), model).collect()}
+    assert all(got[i] == ("rare" if i >= 3000 else "en") for i in got)
+    assert len(language.model_of(docs, 2).languages) == 2
+
+
 def test_code_switching(spark):
     rows = [r for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect() if r.text]
     model = language.fitted([r.text for r in rows], [r.lang for r in rows])
