@@ -15,14 +15,14 @@ from pyspark.sql import functions as F
 from crawlens.llm import bpe, decontaminate, exact_dedup, language, simhash
 from crawlens.llm.common import staged, table
 
-#: Mean word posterior below which a document counts as of no known language.
+#: Mean of the words' greatest posteriors below which a document counts as of no known language.
 LEAST_SCORE = 0.4
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects texts without a letter and those whose best language has a mean word posterior under LEAST_SCORE."""
+    """Rejects texts without a letter and those whose words are named with a mean certainty under LEAST_SCORE, however many languages they are of."""
     named = language.tagged(docs, language.model_of(docs))
-    return named.where((F.col("lang_pred") != language.UND) & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+    return named.where((F.col("lang_pred") != language.UND) & (F.col(language.CERTAINTY) >= LEAST_SCORE)).select(*docs.columns)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -46,6 +46,7 @@ ROUNDS = 15
 #: Distinct words whose potentials a task holds at most.
 LIMIT = 400_000
 UND = "und"
+CERTAINTY = "__crawlens_certainty"
 #: ASCII lower-cased; all other ASCII but letters and ' parts words.
 PARTS = bytes(c if c >= 128 or chr(c).isalpha() else 32 for c in range(256))
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
@@ -255,20 +256,28 @@ class Tagger:
 
     def posteriors(self, texts: list[list[bytes]]) -> np.ndarray:
         """Mean word posterior of each text (zeros without words)."""
+        return self.means(texts)[0]
+
+    def means(self, texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+        """Of each text the mean word posterior, and the mean of its words' greatest posteriors (zeros without words)."""
         lengths = np.array([len(w) for w in texts], np.int64)
-        out = np.zeros((len(texts), len(self.model.languages)))
+        out, sure = np.zeros((len(texts), len(self.model.languages))), np.zeros(len(texts))
         if not lengths.sum():
-            return out
+            return out, sure
         ids = self.word_ids([w for ws in texts for w in ws])
         for text, mask, post in self.whole(ids, lengths):
             np.add.at(out, text, np.where(mask[..., None], post, 0).sum(1, dtype=float))
-        return out / np.maximum(lengths, 1)[:, None]
+            np.add.at(sure, text, np.where(mask, post.max(2), 0).sum(1, dtype=float))
+        return out / np.maximum(lengths, 1)[:, None], sure / np.maximum(lengths, 1)
 
-    def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
-        mean = self.posteriors([words_of(t) for t in texts])
+    def predict(self, texts: list[str | None]) -> tuple[list[str], list[float], list[float]]:
+        """Language, score and certainty (the mean of the words' greatest posteriors) of each text."""
+        mean, sure = self.means([words_of(t) for t in texts])
         best = mean.argmax(1)
         ok = [has_letter(t) for t in texts]
-        return [self.model.languages[b] if y else UND for b, y in zip(best, ok)], [float(min(1.0, mean[i, b])) if y else 0.0 for i, (b, y) in enumerate(zip(best, ok))]
+        names = [self.model.languages[b] if y else UND for b, y in zip(best, ok)]
+        score = [float(min(1.0, mean[i, b])) if y else 0.0 for i, (b, y) in enumerate(zip(best, ok))]
+        return names, score, [float(min(1.0, c)) if y else 0.0 for c, y in zip(sure, ok)]
 
     def words(self, text: str) -> list[tuple[str, str]]:
         """Each word of a text with its most likely language."""
@@ -305,19 +314,20 @@ def model_of(docs: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text
 
 
 def _mapped(df: DataFrame, model: Model | None, text_col: str) -> DataFrame:
-    """df with lang_pred and score (names of df that clash are replaced)."""
+    """df with lang_pred, score and CERTAINTY (names of df that clash are replaced)."""
     sent = df.sparkSession.sparkContext.broadcast(model)
-    kept = [c for c in df.columns if c not in ("lang_pred", "score")]
+    kept = [c for c in df.columns if c not in ("lang_pred", "score", CERTAINTY)]
     fields = [T.StructField(df.schema[c].name, df.schema[c].dataType, True) for c in kept]
-    schema = T.StructType([*fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    schema = T.StructType([*fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField(CERTAINTY, T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tagger = Tagger(sent.value) if sent.value is not None else None
         for big in batches:
             for batch in batches_of(big, 256):
                 texts = batch.column(text_col).to_pylist()
-                lang, score = tagger.predict(texts) if tagger else ([UND] * len(texts), [0.0] * len(texts))
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[*kept, "lang_pred", "score"])
+                lang, score, sure = tagger.predict(texts) if tagger else ([UND] * len(texts), [0.0] * len(texts), [0.0] * len(texts))
+                made = [pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(sure, pa.float64())]
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *made], names=[*kept, "lang_pred", "score", CERTAINTY])
 
     return df.select(*kept).mapInArrow(run, schema)
 

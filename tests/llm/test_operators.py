@@ -489,6 +489,17 @@ def test_language_goes_on_over_cuts(monkeypatch):
             assert np.allclose(post, want[0], atol=1e-4)
 
 
+def test_pipeline_keeps_texts_of_many_languages(spark):
+    import corpus_pipeline as cp
+
+    rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang").where("text is not null and lang is not null").collect()
+    parts = [next(r.text for r in rows if r.lang == k and len(r.text) > 300)[:300] for k in ("de", "en", "es", "fr")]
+    mixed = spark.createDataFrame([*map(tuple, rows), (10**6, " . ".join(parts), None)], "doc_id bigint, text string, lang string")
+    named = language.tagged(mixed, language.model_of(mixed)).where("doc_id = 1000000").first()
+    assert named.score < cp.LEAST_SCORE
+    assert cp.language_id(spark, mixed, "").where("doc_id = 1000000").count() == 1
+
+
 def test_rare_language_is_in_the_sample(spark):
     rows = [(i, f"the cat sat on mat {i}", "en") for i in range(3000)] + [(3000 + i, f"zorp quux vleem brak nidd {i}", "rare") for i in range(6)] + [(None, "le chat noir", "fr")] * 30
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
