@@ -9,11 +9,12 @@ of that width, and stay if the whole item aligns within e edits. Nothing that th
 allows is lost: hashing and bands only ever add regions to align.
 
 The benchmark is read in blocks of at most BLOCK characters, each sent to the executors
-whole and run against all documents.
+whole and run against all documents. Items for which the lemma's bound would fall below one
+q-gram at the full budget have an index of their own, of the largest q that keeps it.
 
 Defined results: null texts or items and items without characters match nothing; items
-shorter than q characters must occur exactly; the edit budget is `edits` of the item's
-length, lowered where the lemma's bound would fall below one q-gram; of overlapping matches
+shorter than q characters that have no edit must occur exactly; the edit budget is `edits` of
+the item's length; of overlapping matches
 of an item in one text the one with fewest edits (then the first) is reported; places are
 offsets in the collapsed text; repeated rows each have their matches.
 """
@@ -197,14 +198,25 @@ def grouped(texts: list[str]) -> Iterator[tuple[int, list[str]]]:
             start, size = i + 1, 0
 
 
+def gram_size(m: int, q: int, rate: float) -> int:
+    """The largest size up to q at which an item of m characters and all its edits leaves one gram untouched."""
+    edits = int(rate * m)
+    return q if not edits else max(1, min(q, m // (1 + edits)))
+
+
 def blocks(benchmark: DataFrame, q: int, rate: float, id_col: str = "item_id", text_col: str = "text") -> Iterator[Index]:
-    """The benchmark as indexes of at most about BLOCK characters."""
+    """The benchmark as indexes of at most about BLOCK characters, for each size of grams its own."""
     items = benchmark.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null")
     total = items.agg(F.sum(F.length("text"))).first()[0] or 0
     n = -(-total // BLOCK) or 1
     for k in range(n):
         rows = items.where(F.pmod(F.xxhash64("id", "text"), F.lit(n)) == k).orderBy("id", "text").collect()
-        yield Index([r.id for r in rows], [collapsed(r.text) for r in rows], q, rate)
+        sizes: dict[int, list[tuple[int, str]]] = {q: []}
+        for r in rows:
+            text = collapsed(r.text)
+            sizes.setdefault(gram_size(len(text), q, rate), []).append((r.id, text))
+        for size, items_of in sizes.items():
+            yield Index([i for i, _ in items_of], [t for _, t in items_of], size, rate)
 
 
 def found(docs: DataFrame, benchmark: DataFrame, q: int = Q, edits: float = EDITS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

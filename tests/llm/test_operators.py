@@ -427,6 +427,24 @@ def test_decontaminate(spark):
     assert decontaminate.found(docs.where("false"), bench).count() == 0 and decontaminate.found(docs, bench.where("false")).count() == 0
 
 
+def test_decontaminate_short_items(spark):
+    rng = random.Random(9)
+    sizes = [8, 9, 10, 12, 15, 16, 20, 23, 24, 30, 31, 32]
+    items = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(m)) for m in sizes]
+    texts = []
+    for t in items:
+        for n in (0, 1, 2, 3, 4):
+            at = [(i + 1) * len(t) // (n + 1) for i in range(n)]
+            texts.append("1234 " * 5 + "".join("#" if i in at else c for i, c in enumerate(t)) + " 5678" * 5)
+            texts.append("90 " + "".join(c for i, c in enumerate(t) if i not in at) + " 21")
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string")
+    got = {(r.doc_id, r.item_id): r.n_edits for r in decontaminate.found(docs, bench).collect()}
+    want = {(i, k): n for i, t in enumerate(texts) for k, x in enumerate(items) if (n := best_edits(x, t)) <= len(x) // 10}
+    assert got == want and any(n == 3 for n in got.values())
+    assert {r.doc_id for r in decontaminate.clean(docs, bench).collect()} == set(range(len(texts))) - {i for i, _ in want}
+
+
 def test_decontaminate_blocks(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "BLOCK", 300)
     items = [f"item number {i} has a text of its own, {i * 7919} and more {i * 104729}" for i in range(20)]
