@@ -95,6 +95,9 @@ ARTICLE_TYPES = ("Article", "BlogPosting", "NewsArticle")
 OTHER_CONTENT_TYPES = ("Product", "QAPage", "FAQPage", "HowTo", "Recipe", "Event")
 ORG_TYPES = ("Organization", "LocalBusiness")
 
+# What counts as white space where text is trimmed or parted.
+WHITE = "\t\n\v\f\r \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
+
 # Elements before which text is parted.
 BLOCK_TAGS = ("p", "div", "section", "article", "main", "header", "footer", "li", "tr", "h1", "h2", "h3", "h4", "h5", "h6", "br")
 LANDMARKS = ("main", "article", "nav", "header", "footer")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from crawlens.constants import GRADES
+from crawlens.constants import GRADES, WHITE
 
 
 def let(value: Column, body) -> Column:
@@ -44,19 +44,17 @@ def matching(have: Column, wanted) -> Column:
     return F.filter(lits(wanted), lambda w: F.array_contains(lower, F.lower(w)))
 
 
-def collapsed(x: Column) -> Column:
-    return F.trim(F.regexp_replace(x, r"(?U)\s+", " "))
+def trimmed(x: Column) -> Column:
+    """x without the white space around it, of every kind (not only spaces)."""
+    return F.btrim(x, F.lit(WHITE))
 
 
-def n_words(x: Column) -> Column:
-    return F.coalesce(F.regexp_count(x, F.lit(r"(?U)\S+")), F.lit(0))
+def present(x: Column) -> Column:
+    """x says something: it isn't null, empty or all white space."""
+    return F.coalesce(trimmed(x) != "", F.lit(False))
 
 
 def bar(score: Column, most: Column, width: int = 20) -> Column:
     """A score as # and -."""
     n = whole(score / most * width)
     return F.concat(F.repeat(F.lit("#"), n), F.repeat(F.lit("-"), width - n))
-
-
-def short_type(x: Column) -> Column:
-    return F.element_at(F.split(F.trim(x), "[/#]"), -1)

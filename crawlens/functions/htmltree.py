@@ -1,113 +1,253 @@
 """One pass over a page's markup: every fact that the scores need, and nothing else.
 
 Rules of nesting, where markup leaves them open: void elements have no content; a block
-element, or another p, ends an open p; li, tr, td, th, dt, dd and option end their like;
-an end tag closes up to the nearest open element of its name and is ignored if there is
-none; script, style, noscript, pre, textarea and title hold text only.
+element, or another p, ends an open p; li, tr, td, th, dt, dd and option end their like, and
+a heading ends an open heading; an end tag closes up to the nearest open element of its name
+and is ignored if there is none; script, style, noscript, pre, textarea and title hold text
+only. A tag that isn't closed is text.
+
+Nothing here recurses, and no step looks back or ahead further than what it takes off: the
+cost is in proportion to the page, whatever its markup. Text lies once in the order of the
+page; an element knows where its part begins and ends.
 """
 
 from __future__ import annotations
 
 import json
 import re
+from array import array
+from bisect import bisect_left, bisect_right
 from html import unescape
 
-from crawlens.constants import BLOCK_TAGS, LANDMARKS
+from crawlens.constants import BLOCK_TAGS, LANDMARKS, WHITE
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript pre textarea title".split())
 HIDDEN = frozenset(("script", "style", "noscript"))
+HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
 ENDS_P = frozenset("p div section article main header footer nav aside ul ol dl table form h1 h2 h3 h4 h5 h6 pre blockquote hr figure".split())
 LIKE = {"li": ("li",), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "option": ("option",)}
-#: An element of these keeps what it holds from being ended by what stands inside it.
-SCOPE = frozenset("table ul ol dl select".split())
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|</([A-Za-z][^\s/>]*)[^>]*>|<([A-Za-z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>", re.S)
+#: An element of these keeps what it holds from being ended by what stands inside it (but for headings, which never nest).
+SCOPE = ("table", "ul", "ol", "dl", "select")
+NAME = re.compile(r"[A-Za-z][^\s/<>]*+(?!<)")
+STOP = re.compile(r"[\"'>]")
 ATTRIBUTE = re.compile(r"([^\s=/\"'<>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
-SPACE = re.compile(r"\s+")
+SPACE = re.compile(f"[{WHITE}]+")
+WORD = re.compile(f"[^{WHITE}]+")
+#: Where Python's white space isn't ours.
+ODD = re.compile("[\x1c-\x1f\x85\ufeff]")
+#: References whose number is longer than any character's.
+LONG_REFERENCE = re.compile(r"&#(?:[0-9]{20,}|[xX][0-9a-fA-F]{20,});?")
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "kids", "outer")
+    __slots__ = ("tag", "attrs", "parent", "start", "end", "seen_start", "seen_end", "outer", "after")
 
-    def __init__(self, tag: str, attrs: dict[str, str]):
-        self.tag, self.attrs, self.kids, self.outer = tag, attrs, [], 0
+    def __init__(self, tag: str, attrs: dict[str, str], parent: Node | None):
+        self.tag, self.attrs, self.parent, self.outer = tag, attrs, parent, 0
+        self.start = self.end = self.seen_start = self.seen_end = 0
+        self.after: Node | None = None
 
-    def text(self) -> str:
-        """All text inside."""
-        return "".join(k if isinstance(k, str) else k.text() for k in self.kids)
 
-    def visible(self) -> str:
-        """Text as read: elements part words, what isn't shown is left out."""
-        if self.tag in HIDDEN:
-            return ""
-        out = []
-        for k in self.kids:
-            if isinstance(k, str):
-                out.append(k)
-            elif inner := k.visible():
-                out.append(f" {inner} " if k.tag in BLOCK_TAGS else f"{inner} ")
-        return "".join(out)
+def decoded(text: str) -> str:
+    """text with its character references replaced."""
+    return unescape(LONG_REFERENCE.sub("\ufffd", text)) if "&" in text else text
 
 
 def attributes(source: str) -> dict[str, str]:
     found: dict[str, str] = {}
     for name, a, b, c in ATTRIBUTE.findall(source):
-        found.setdefault(name.lower(), unescape(a or b or c))
+        found.setdefault(name.lower(), decoded(a or b or c))
     return found
 
 
-def tree(html: str) -> tuple[Node, list[Node]]:
-    """The root, and all elements in order of their start."""
-    root = Node("", {})
-    stack, order, at = [root], [], 0
-    while m := TOKEN.search(html, at):
-        if m.start() > at:
-            stack[-1].kids.append(unescape(html[at : m.start()]))
-        at = m.end()
-        closing, opening = m[1], m[2]
-        if closing:
-            closing = closing.lower()
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth].tag == closing:
-                    del stack[depth:]
-                    break
-        elif opening:
-            tag = opening.lower()
-            for ended in (("p",) if tag in ENDS_P else ()) + LIKE.get(tag, ()):
-                for depth in range(len(stack) - 1, 0, -1):
-                    if stack[depth].tag == ended:
-                        del stack[depth:]
-                        break
-                    if stack[depth].tag in SCOPE:
-                        break
-            node = Node(tag, attributes(m[3]) if m[3].strip(" /\n\t") else {})
-            stack[-1].kids.append(node)
-            order.append(node)
-            if tag in RAW:
-                end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(html, at)
-                stop, after = (end.start(), end.end()) if end else (len(html), len(html))
-                if stop > at:
-                    body = html[at:stop]
-                    node.kids.append(unescape(body) if tag in ("title", "textarea") else body)
-                node.outer = after - m.start()
-                at = after
-            elif tag not in VOID and not m[3].endswith("/"):
-                stack.append(node)
-    if at < len(html):
-        stack[-1].kids.append(unescape(html[at:]))
-    return root, order
+class Source:
+    """Where a page's tags end, found in time that grows with the page's length only."""
 
+    def __init__(self, html: str):
+        self.html = html
+        self.last = {c: html.rfind(c) for c in "\"'>"}
+        self._gt = -1
+        # Places outside quotes from which no > outside quotes follows.
+        self._open = bytearray()
 
-def collapse(text: str) -> str:
-    return SPACE.sub(" ", text).strip()
+    def gt(self, at: int) -> int:
+        """The next > (places only go forward)."""
+        if self._gt < at:
+            self._gt = self.html.find(">", at)
+        return self._gt
+
+    def tag_end(self, at: int) -> int:
+        """Where a start tag's attributes, from `at` on, end; -1 if they don't."""
+        html, passed = self.html, []
+        while at <= self.last[">"] and not (self._open and self._open[at]):
+            m = STOP.search(html, at)
+            if m[0] == ">":
+                return m.start()
+            passed.append((at, m.start()))
+            if self.last[m[0]] < m.end():
+                break
+            at = html.find(m[0], m.end()) + 1
+        if passed and not self._open:
+            self._open = bytearray(len(html) + 1)
+        for a, b in passed:
+            self._open[a:b] = b"\1" * (b - a)
+        return -1
+
+
+def tokens(html: str):
+    """(kind, a, b, tag, place): text html[a:b]; end of tag; start of tag with the attributes html[a:b] at place; its raw content html[a:b] up to place."""
+    source = Source(html)
+    at = told = 0
+    while (lt := html.find("<", at)) >= 0:
+        kind, tag, a, b, after = "", "", 0, 0, -1
+        if html.startswith("<!--", lt):
+            stop = html.find("-->", lt + 4)
+            after = stop + 3 if stop >= 0 else len(html)
+        elif html.startswith("<![CDATA[", lt):
+            stop = html.find("]]>", lt + 9)
+            after = stop + 3 if stop >= 0 else len(html)
+        elif lt > source.last[">"]:
+            # No tag ends any more, but a comment may begin.
+            at = min((x for x in (html.find("<!--", lt), html.find("<![CDATA[", lt)) if x >= 0), default=len(html))
+            continue
+        elif html.startswith(("<!", "<?"), lt):
+            after = source.gt(lt) + 1
+        elif html.startswith("</", lt):
+            if m := NAME.match(html, lt + 2):
+                kind, tag, after = "end", m[0].lower(), source.gt(lt) + 1
+        elif (m := NAME.match(html, lt + 1)) and (b := source.tag_end(m.end())) >= 0:
+            kind, tag, a, after = "start", m[0].lower(), m.end(), b + 1
+        if after < 0:
+            at = lt + 1
+            continue
+        if lt > told:
+            yield "text", told, lt, "", lt
+        if kind:
+            yield kind, a, b, tag, lt
+        if kind == "start" and tag in RAW:
+            shut = re.compile(rf"</{tag}\s*>", re.I).search(html, after)
+            stop, beyond = (shut.start(), shut.end()) if shut else (len(html), len(html))
+            yield "raw", after, stop, tag, beyond
+            after = beyond
+        at = told = after
+    if told < len(html):
+        yield "text", told, len(html), "", len(html)
+
+
+class Page:
+    """The elements of a page in order of their start; its text, and its text as read."""
+
+    def __init__(self, html: str):
+        self.root = Node("", {}, None)
+        self.order: list[Node] = []
+        self._stack = [self.root]
+        self._open: dict[str, list[int]] = {}
+        self._text: list[str] = []
+        self._seen: list[str] = []
+        self._size = self._seen_size = 0
+        for kind, a, b, tag, place in tokens(html):
+            if kind == "text":
+                self._said(decoded(html[a:b]))
+            elif kind == "end":
+                if held := self._open.get(tag):
+                    self._close(held[-1])
+            elif kind == "start":
+                self._start(tag, html[a:b], place)
+            else:
+                self._said(decoded(html[a:b]) if tag in ("title", "textarea") else html[a:b], tag not in HIDDEN)
+                node = self._stack[-1]
+                self._close(len(self._stack) - 1)
+                node.outer = place - node.outer
+        self._close(1)
+        self.text, self.seen = "".join(self._text), "".join(self._seen)
+        self.root.end, self.root.seen_end = self._size, self._seen_size
+        # Of the words of the text and of the text as read: where they begin and end.
+        self._words = [words := _places(self.text), words if self.text == self.seen else _places(self.seen)]
+
+    def _said(self, text: str, shown: bool = True) -> None:
+        self._text.append(text)
+        self._size += len(text)
+        if shown:
+            self._show(text)
+
+    def _show(self, text: str) -> None:
+        if text:
+            self._seen.append(text)
+        self._seen_size += len(text)
+
+    def _start(self, tag: str, source: str, place: int) -> None:
+        if tag in HEADINGS:
+            self._end(HEADINGS, 0)
+        if tag in ENDS_P or tag in LIKE:
+            least = max((held[-1] for t in SCOPE if (held := self._open.get(t))), default=0)
+            if tag in ENDS_P:
+                self._end(("p",), least)
+            for like in LIKE.get(tag, ()):
+                self._end((like,), least)
+        node = Node(tag, attributes(source) if source.strip(" /\n\t") else {}, self._stack[-1])
+        self.order.append(node)
+        node.start = self._size
+        node.outer = place
+        if tag in BLOCK_TAGS:
+            self._show(" ")
+        node.seen_start = self._seen_size
+        if tag in VOID or (source.endswith("/") and tag not in RAW):
+            self._ended(node)
+        else:
+            self._open.setdefault(tag, []).append(len(self._stack))
+            self._stack.append(node)
 
+    def _end(self, tags: tuple[str, ...], least: int) -> None:
+        """Close the nearest open element of each of the names that lies inside the scope."""
+        for tag in tags:
+            if (held := self._open.get(tag)) and held[-1] > least:
+                self._close(held[-1])
 
-def n_words(text: str) -> int:
-    return len(text.split())
+    def _close(self, depth: int) -> None:
+        while len(self._stack) > depth:
+            node = self._stack.pop()
+            self._open[node.tag].pop()
+            self._ended(node)
+
+    def _ended(self, node: Node) -> None:
+        node.end, node.seen_end = self._size, self._seen_size
+        if node.seen_end > node.seen_start:
+            self._show(" ")
+        elif node.tag in BLOCK_TAGS:
+            # Nothing to read in it, so it parts no words.
+            self._seen.pop()
+            self._seen_size -= 1
+            node.seen_start = node.seen_end = self._seen_size
+
+    def n_words(self, node: Node, seen: bool = False) -> int:
+        """Words of an element's text, or of its text as read."""
+        begin, end = self._words[seen]
+        a, b = (node.seen_start, node.seen_end) if seen else (node.start, node.end)
+        return max(0, bisect_left(begin, b) - bisect_right(end, a)) if b > a else 0
+
+    def text_of(self, node: Node) -> str:
+        return trimmed(self.text[node.start : node.end])
+
+
+def _places(text: str) -> tuple[array, array]:
+    begin, end = array("i"), array("i")
+    for m in WORD.finditer(text):
+        begin.append(m.start())
+        end.append(m.end())
+    return begin, end
+
+
+def trimmed(text: str) -> str:
+    return text.strip(WHITE)
+
+
+def collapse(text: str) -> str:
+    return trimmed(SPACE.sub(" ", text)) if ODD.search(text) else " ".join(text.split())
 
 
 def short_type(name: str) -> str:
-    return re.split(r"[/#]", name.strip())[-1]
+    return re.split(r"[/#]", trimmed(name))[-1]
 
 
 def typed_nodes(value, types: dict[str, None], nodes: list[dict]) -> None:
@@ -146,45 +286,44 @@ byline boolean, time_datetime boolean, faq_block boolean
 def facts(html: str | None) -> dict:
     """All facts of one page; null counts as empty."""
     html = html or ""
-    root, order = tree(html)
+    page = Page(html)
     by_tag: dict[str, list[Node]] = {}
-    for n in order:
+    for n in page.order:
         by_tag.setdefault(n.tag, []).append(n)
     has = by_tag.__contains__
 
-    body = by_tag["body"][0] if has("body") else root
-    visible = collapse(body.visible())
-    main = collapse(" ".join(n.visible() for n in by_tag.get("main", by_tag.get("article", []))))
-    ids = {}
-    for n in order:
+    body = by_tag["body"][0] if has("body") else page.root
+    visible = collapse(page.seen[body.seen_start : body.seen_end])
+    ids: dict[str, Node] = {}
+    for n in page.order:
         if "id" in n.attrs:
             ids.setdefault(n.attrs["id"], n)
 
-    headings = []
-    parents = {}
-    for parent in [root, *order]:
-        elements = [k for k in parent.kids if not isinstance(k, str)]
-        for i, k in enumerate(elements):
-            parents[id(k)] = (elements, i)
-    for n in order:
-        if len(n.tag) == 2 and n.tag[0] == "h" and n.tag[1] in "123456":
-            elements, i = parents[id(n)]
-            after = next((k for k in elements[i + 1 :] if k.text().strip()), None)
-            headings.append({"level": int(n.tag[1]), "text": n.text().strip(), "next_tag": after.tag if after else None, "next_words": n_words(after.text()) if after else None})
+    # The next element beside each that has text.
+    later: dict[int, Node] = {}
+    for n in reversed(page.order):
+        n.after = later.get(id(n.parent))
+        if page.n_words(n):
+            later[id(n.parent)] = n
+    headings = [
+        {"level": int(n.tag[1]), "text": page.text_of(n), "next_tag": n.after.tag if n.after else None, "next_words": page.n_words(n.after) if n.after else None}
+        for n in page.order
+        if n.tag in HEADINGS
+    ]
 
     types: dict[str, None] = {}
     nodes: list[dict] = []
     blocks = [n for n in by_tag.get("script", []) if n.attrs.get("type") == "application/ld+json"]
     invalid = 0
     for n in blocks:
-        if text := n.text().strip():
+        if text := page.text_of(n):
             try:
                 typed_nodes(json.loads(text), types, nodes)
             except (ValueError, RecursionError):
                 invalid += 1
 
     def any_attr(name: str, test) -> bool:
-        return any(test(n.attrs[name].lower()) for n in order if name in n.attrs)
+        return any(test(n.attrs[name].lower()) for n in page.order if name in n.attrs)
 
     metas = [{k: n.attrs.get(k) for k in ("name", "property", "content")} for n in by_tag.get("meta", [])]
     canonical = next((n.attrs.get("href", "") for n in by_tag.get("link", []) if n.attrs.get("rel", "").lower() == "canonical"), "")
@@ -193,18 +332,18 @@ def facts(html: str | None) -> dict:
     return {
         "html_length": len(html),
         "visible_text": visible,
-        "word_count": n_words(visible),
-        "main_word_count": n_words(main),
+        "word_count": page.n_words(body, True),
+        "main_word_count": sum(page.n_words(n, True) for n in by_tag.get("main", by_tag.get("article", []))),
         "text_ratio": len(visible) / len(html) if html else 0.0,
         "script_count": len(scripts),
         "script_length": sum(n.outer for n in scripts),
         "next_data": "__NEXT_DATA__" in ids,
-        "empty_root": any(not ids[x].visible().strip() for x in ("root", "app", "__next") if x in ids),
+        "empty_root": any(not page.n_words(ids[x], True) for x in ("root", "app", "__next") if x in ids),
         "headings": headings,
-        "title": by_tag["title"][0].text().strip() if has("title") else "",
+        "title": page.text_of(by_tag["title"][0]) if has("title") else "",
         "metas": metas,
-        "canonical": canonical.strip(),
-        "html_lang": by_tag["html"][0].attrs.get("lang", "").strip() if has("html") else "",
+        "canonical": trimmed(canonical),
+        "html_lang": trimmed(by_tag["html"][0].attrs.get("lang", "")) if has("html") else "",
         **{x: has(x) for x in LANDMARKS},
         "ul_count": len(by_tag.get("ul", [])),
         "ol_count": len(by_tag.get("ol", [])),
@@ -214,8 +353,8 @@ def facts(html: str | None) -> dict:
         "jsonld_invalid": invalid,
         "jsonld_types": list(types),
         "jsonld_nodes": nodes,
-        "microdata_types": list(dict.fromkeys(short_type(n.attrs["itemtype"]) for n in order if n.attrs.get("itemtype"))),
-        "rdfa_types": list(dict.fromkeys(short_type(p) for n in order for p in n.attrs.get("typeof", "").split())),
+        "microdata_types": list(dict.fromkeys(short_type(n.attrs["itemtype"]) for n in page.order if n.attrs.get("itemtype"))),
+        "rdfa_types": list(dict.fromkeys(short_type(p) for n in page.order for p in n.attrs.get("typeof", "").split())),
         "byline": byline,
         "time_datetime": any("datetime" in n.attrs for n in by_tag.get("time", [])),
         "faq_block": any_attr("class", lambda v: "faq" in v) or any_attr("id", lambda v: "faq" in v) or any_attr("itemtype", lambda v: "faqpage" in v),

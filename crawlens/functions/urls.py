@@ -11,7 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from crawlens.constants import INTERNAL_HOSTS, INTERNAL_SUFFIXES
-from crawlens.functions.columns import let
+from crawlens.functions.columns import let, trimmed
 
 URL = r"^([A-Za-z][A-Za-z0-9+.\-]*):(?://(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/?#:]*)(?::([0-9]*))?(?=[/?#]|$))?"
 
@@ -75,7 +75,7 @@ def resolved(href: Column, base: Column) -> Column:
     def clean(u: Column) -> Column:
         return F.when(web(u), F.concat(origin(u), without_dots(path(u)), F.regexp_extract(u, r"^[^?#]*([?#].*)?$", 1)))
 
-    return let(let(F.trim(href), join), clean)
+    return let(let(trimmed(href), join), clean)
 
 
 def without_dots(p: Column) -> Column:

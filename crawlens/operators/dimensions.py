@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from crawlens.constants import ANSWER_TYPES, ARTICLE_TYPES, BOTS, LANDMARKS, ORG_TYPES, OTHER_CONTENT_TYPES, TIER_A, TIER_B, TLDR_CHARS
-from crawlens.functions.columns import grade, has_any, matching, whole
+from crawlens.functions.columns import grade, has_any, matching, trimmed, whole
 from crawlens.operators.block import js_shell
 from crawlens.operators.robots import blocked, notable_blocked
 
@@ -94,7 +94,7 @@ def points(*steps, other=0) -> Column:
 def meta(key: str, name: str) -> Column:
     """Trimmed content of the first meta element with the name; '' if none."""
     own = F.filter(F.col("facts.metas"), lambda m: F.lower(m[key]) == name)
-    return F.coalesce(F.trim(F.try_element_at(own, F.lit(1)).content), F.lit(""))
+    return F.coalesce(trimmed(F.try_element_at(own, F.lit(1)).content), F.lit(""))
 
 
 def first_node(types) -> Column:

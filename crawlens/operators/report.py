@@ -7,16 +7,16 @@ from pyspark.sql import functions as F
 
 from crawlens.constants import CONTENT_CHARS, SEVERITIES
 from crawlens.functions import urls
-from crawlens.functions.columns import grade, whole
+from crawlens.functions.columns import grade, present, whole
 from crawlens.operators import block, dimensions, llms_txt, robots
 from crawlens.sources.pages import parsed
 
 
 def site_files(robots_txt: DataFrame, llms: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Per origin: groups of robots.txt (status 200 and not blank); presence and shape of llms.txt."""
-    groups = robots_txt.where("status = 200 and trim(body) <> ''")
+    groups = robots_txt.where((F.col("status") == 200) & present(F.col("body")))
     shape = llms_txt.shape(F.col("body"))
-    here = F.coalesce((F.col("status") == 200) & (F.trim("body") != ""), F.lit(False))
+    here = F.coalesce(F.col("status") == 200, F.lit(False)) & present(F.col("body"))
     files = llms.select("origin", F.struct(here.alias("present"), (here & shape.ok).alias("well_formed"), shape.detail.alias("detail"), F.coalesce("full_present", F.lit(False)).alias("full_present")).alias("llms"))
     # A site without an agent line has groups too: none.
     return groups.select("origin").join(robots.groups(groups), "origin", "left").select("origin", F.coalesce("groups", F.expr("cast(array() as array<struct<agents:array<string>,rules:array<struct<line_no:int,kind:string,pattern:string,regex:string,length:int>>>>)")).alias("groups")), files

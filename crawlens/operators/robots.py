@@ -7,19 +7,19 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from crawlens.constants import BOTS, NOTABLE_BOTS
-from crawlens.functions.columns import lits
+from crawlens.functions.columns import let, lits, trimmed
 
 
 def lines(robots: DataFrame) -> DataFrame:
     """origin, line_no, field, value of the lines that say something. robots: origin, body."""
     cut = robots.select("origin", F.posexplode(F.split("body", r"\r?\n")).alias("line_no", "raw"))
-    line = F.trim(F.regexp_replace("raw", "#.*$", ""))
+    line = trimmed(F.regexp_replace("raw", "#.*$", ""))
     at = F.instr(line, ":")
     return cut.where(at > 0).select(
         "origin",
         "line_no",
-        F.lower(F.trim(F.substring_index(line, ":", 1))).alias("field"),
-        F.trim(F.regexp_replace(line, "^[^:]*:", "")).alias("value"),
+        F.lower(trimmed(F.substring_index(line, ":", 1))).alias("field"),
+        trimmed(F.regexp_replace(line, "^[^:]*:", "")).alias("value"),
     )
 
 
@@ -43,11 +43,20 @@ def rules(robots: DataFrame) -> DataFrame:
 
 
 def pattern_regex(pattern: Column) -> Column:
-    """A path pattern as a regular expression: * is any run, a final $ is the end."""
+    """A path pattern as a regular expression: * is any run, a final $ is the end.
+
+    What follows a * is looked for at its first place and then not again (an atomic group):
+    a later place could not help what comes after, so many * don't multiply the work. Only
+    with a final $ the last part is looked for at the end.
+    """
     ends = pattern.endswith("$")
-    core = F.when(ends, F.regexp_replace(pattern, r"\$$", "")).otherwise(pattern)
+    core = F.regexp_replace(pattern, r"\$$", "")
     escaped = F.regexp_replace(core, r"([.+?^${}()|\[\]\\])", r"\\$1")
-    return F.concat(F.lit("^"), F.regexp_replace(escaped, r"\*", ".*"), F.when(ends, "$").otherwise(""))
+    last = F.when(ends, F.regexp_extract(escaped, r"\*([^*]*)$", 1)).otherwise("")
+    head = F.when(ends, F.regexp_replace(escaped, r"\*+[^*]*$", "")).otherwise(escaped)
+    parts = F.regexp_replace(F.regexp_replace(head, r"\*+$", ""), r"\*+([^*]+)", "(?>.*?$1)")
+    tail = F.when(~ends, "").when(F.contains(escaped, F.lit("*")), F.concat(F.lit(".*"), last, F.lit("$"))).otherwise("$")
+    return F.concat(F.lit("^"), parts, tail)
 
 
 def pattern_length(pattern: Column) -> Column:
@@ -66,13 +75,18 @@ def groups(robots: DataFrame) -> DataFrame:
     return of_group.groupBy("origin").agg(F.transform(F.array_sort(F.collect_list(F.struct("group_id", "agents", "rules"))), lambda g: F.struct(g.agents.alias("agents"), g.rules.alias("rules"))).alias("groups"))
 
 
-def ruling(groups_: Column, bot: Column, path: Column) -> Column:
-    """struct(bot, allowed, rule, explicit) of one crawler at a path."""
+def matched(groups_: Column, path: Column) -> Column:
+    """The groups with those of their rules that match the path."""
+    return F.transform(groups_, lambda g: F.struct(g.agents.alias("agents"), F.filter(g.rules, lambda r: F.regexp_like(path, r.regex)).alias("rules")))
+
+
+def ruling(matched_: Column, bot: Column) -> Column:
+    """struct(bot, allowed, rule, explicit) of one crawler, from the groups as of `matched`."""
     name = F.lower(bot)
-    named = F.filter(groups_, lambda g: F.exists(g.agents, lambda a: (a != "*") & F.contains(name, a)))
+    named = F.filter(matched_, lambda g: F.exists(g.agents, lambda a: (a != "*") & F.contains(name, a)))
     explicit = F.size(named) > 0
-    used = F.when(explicit, named).otherwise(F.filter(groups_, lambda g: F.array_contains(g.agents, "*")))
-    matching = F.filter(F.flatten(F.transform(used, lambda g: g.rules)), lambda r: F.regexp_like(path, r.regex))
+    used = F.when(explicit, named).otherwise(F.filter(matched_, lambda g: F.array_contains(g.agents, "*")))
+    matching = F.flatten(F.transform(used, lambda g: g.rules))
 
     def longest(kind: str) -> tuple[Column, Column]:
         own = F.filter(matching, lambda r: r.kind == kind)
@@ -91,9 +105,9 @@ def ruling(groups_: Column, bot: Column, path: Column) -> Column:
 
 
 def rulings(groups_: str = "groups", path: str = "path") -> Column:
-    """Array of the rulings of all tracked crawlers, null without robots.txt."""
+    """Array of the rulings of all tracked crawlers, null without robots.txt. Rules are matched once for all crawlers."""
     g = F.col(groups_)
-    return F.when(g.isNotNull(), F.transform(lits(BOTS), lambda b: ruling(g, b, F.col(path))))
+    return F.when(g.isNotNull(), let(matched(g, F.col(path)), lambda m: F.transform(lits(BOTS), lambda b: ruling(m, b))))
 
 
 def blocked(rulings_: Column) -> Column:

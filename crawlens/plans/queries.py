@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from crawlens import sinks
 from crawlens.constants import BOTS, DIMENSIONS
 from crawlens.functions import urls
-from crawlens.functions.columns import has_any, matching
+from crawlens.functions.columns import has_any, matching, present
 from crawlens.constants import ANSWER_TYPES, TIER_A, TIER_B
 from crawlens.operators import block, dimensions, llms_txt, report, robots
 from crawlens.plans import fetch, site
@@ -28,6 +28,10 @@ def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _in(spark, sf_dir, "PAGES").withColumn("final_url", F.lit(None).cast("string"))
 
 
+def _live_robots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _in(spark, sf_dir, "ROBOTS").where((F.col("status") == 200) & present(F.col("body")))
+
+
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.scored(report.contexts(_pages(spark, sf_dir), _in(spark, sf_dir, "ROBOTS"), _in(spark, sf_dir, "LLMS")))
 
@@ -64,11 +68,11 @@ def url_parts(spark, sf_dir):
 
 
 def robots_rules(spark, sf_dir):
-    return robots.rules(_in(spark, sf_dir, "ROBOTS").where("status = 200 and trim(body) <> ''")).select("origin", F.col("group_id").cast("long").alias("group_id"), F.col("line_no").cast("long").alias("line_no"), "field", "value")
+    return robots.rules(_live_robots(spark, sf_dir)).select("origin", F.col("group_id").cast("long").alias("group_id"), F.col("line_no").cast("long").alias("line_no"), "field", "value")
 
 
 def robots_sitemaps(spark, sf_dir):
-    return robots.sitemaps(_in(spark, sf_dir, "ROBOTS").where("status = 200 and trim(body) <> ''")).select("origin", "url")
+    return robots.sitemaps(_live_robots(spark, sf_dir)).select("origin", "url")
 
 
 def robots_rulings(spark, sf_dir):

@@ -6,13 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from crawlens.constants import MAX_NAV_LINKS, MAX_PAGES, MAX_SITEMAP_DEPTH, MAX_SITEMAP_URLS, PER_SECTION
+from crawlens.constants import MAX_NAV_LINKS, MAX_PAGES, MAX_SITEMAP_DEPTH, MAX_SITEMAP_URLS, PER_SECTION, WHITE
 from crawlens.functions import urls
-from crawlens.functions.columns import grade, half_up, whole
+from crawlens.functions.columns import grade, half_up, present, trimmed, whole
 from crawlens.operators import robots as robots_ops
 from crawlens.session import cut
 
-LOC = r"(?i)<loc>\s*([^<\s][^<]*?)\s*</loc>"
+LOC = f"(?i)<loc>[{WHITE}]*+([^<{WHITE}][^<]*+)</loc>"
 
 
 def unescaped(x: Column) -> Column:
@@ -24,7 +24,7 @@ def unescaped(x: Column) -> Column:
 
 def locs(body: Column) -> Column:
     """The addresses in a sitemap, in order."""
-    return F.transform(F.regexp_extract_all(body, F.lit(LOC), F.lit(1)), lambda x: unescaped(F.trim(x)))
+    return F.transform(F.regexp_extract_all(body, F.lit(LOC), F.lit(1)), lambda x: unescaped(trimmed(x)))
 
 
 def is_index(body: Column) -> Column:
@@ -38,7 +38,7 @@ def crawled(seeds: DataFrame, sitemaps: DataFrame) -> DataFrame:
     place in depth-first order. seeds: origin, ord, url. sitemaps: url, status, body.
     """
     first = W.partitionBy("origin", "url").orderBy("trail")
-    files = sitemaps.where("status = 200 and trim(body) <> ''").select(F.col("url").alias("file_url"), "body", is_index(F.col("body")).alias("index"))
+    files = sitemaps.where((F.col("status") == 200) & present(F.col("body"))).select(F.col("url").alias("file_url"), "body", is_index(F.col("body")).alias("index"))
     level = seeds.where(urls.origin(F.col("url")) == F.col("origin")).select("origin", "url", F.array(F.col("ord").cast("int")).alias("trail"))
     visits = None
     for depth in range(MAX_SITEMAP_DEPTH + 1):
@@ -64,7 +64,7 @@ def sitemap_pages(visits: DataFrame) -> DataFrame:
 def nav_links(homes: DataFrame) -> DataFrame:
     """origin, ord, url, ok: links of the home pages that lead to the same site. homes: origin, url, links."""
     each = homes.select("origin", F.col("url").alias("base"), F.posexplode("links").alias("ord", "href"))
-    href = F.trim("href")
+    href = trimmed(F.col("href"))
     plain = each.where((href != "") & ~href.startswith("#") & ~href.rlike("(?i)^(mailto:|tel:|javascript:|data:)"))
     full = plain.withColumn("url", urls.resolved(F.col("href"), F.col("base")))
     own = full.where(urls.origin(F.col("url")) == F.col("origin")).withColumn("ok", urls.safety(F.col("url")).ok)
@@ -74,7 +74,7 @@ def nav_links(homes: DataFrame) -> DataFrame:
 
 def discovered(sites: DataFrame, robots_txt: DataFrame, sitemaps: DataFrame, homes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(candidates: origin, ord, url; summary per origin: source, found, robots_found, sitemap_found, dropped)."""
-    live = robots_txt.where("status = 200 and trim(body) <> ''")
+    live = robots_txt.where((F.col("status") == 200) & present(F.col("body")))
     declared = cut(robots_ops.sitemaps(live))
     seeds = declared.unionByName(sites.join(declared.select("origin").distinct(), "origin", "left_anti").select("origin", F.lit(0).alias("ord"), F.concat("origin", F.lit("/sitemap.xml")).alias("url")))
     visits = crawled(seeds, sitemaps)

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from crawlens.constants import COUNTER_HOURS, DAILY_GLOBAL, DAILY_PER_IP, MAX_URL_CHARS, PAGE_PER_MINUTE, SITE_PER_MINUTE
 from crawlens.functions import urls
+from crawlens.functions.columns import present
 
 
 def day(ts: str = "ts") -> Column:
@@ -133,7 +134,7 @@ def outcome(default_origins: list[str], extra_origins: list[str] | None = None)
         .when(F.col("origin").isNotNull() & ~F.col("origin").isin(allowed), out(403, "forbidden_origin"))
         .when(F.col("origin").isNull() & ~referred.isin(allowed), out(403, "forbidden_referer"))
         .when(F.try_parse_json("body").isNull(), out(400, "invalid_json"))
-        .when(F.coalesce(F.trim(url), F.lit("")) == "", out(400, "url_required"))
+        .when(~present(url), out(400, "url_required"))
         .when(F.length(url) > MAX_URL_CHARS, out(400, "url_too_long"))
         .when(check.reason == "invalid_url", out(400, "invalid_url"))
         .when(~urls.scheme(url).isin("http", "https"), out(400, "invalid_url_scheme"))

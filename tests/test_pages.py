@@ -90,7 +90,7 @@ ROBOTS = [
 def test_robots(spark):
     df = spark.createDataFrame([(str(i), body) for i, (body, *_) in enumerate(ROBOTS)], "origin string, body string")
     asked = spark.createDataFrame([(str(i), bot, path) for i, (_, bot, path, _) in enumerate(ROBOTS)], "origin string, bot string, path string")
-    rows = robots.groups(df).join(asked, "origin").select("origin", robots.ruling(F.col("groups"), F.col("bot"), F.col("path")).alias("r")).collect()
+    rows = robots.groups(df).join(asked, "origin").select("origin", robots.ruling(robots.matched(F.col("groups"), F.col("path")), F.col("bot")).alias("r")).collect()
     assert {int(x.origin): x.r.allowed for x in rows} == {i: c[3] for i, c in enumerate(ROBOTS)}
 
 
