@@ -118,6 +118,8 @@ GRADES = ((85, "A"), (70, "B"), (55, "C"), (40, "D"))
 
 # Limits of sampling, discovery, extraction and admission.
 MAX_PAGES = 15
+MAX_TYPES = 8
+MAX_NAMES = 6
 PER_SECTION = 2
 MAX_SITEMAP_DEPTH = 2
 MAX_SITEMAP_URLS = 2000
@@ -134,6 +136,14 @@ DAILY_PER_IP = 100
 DAILY_GLOBAL = 800
 COUNTER_HOURS = 26
 
+# Fetch limits by where a scan runs: milliseconds a page may take, bytes of a body that are read (None: all).
+PROFILES = {
+    "library": {"timeout_ms": 15_000, "body_bytes": None},
+    "service": {"timeout_ms": 9_000, "body_bytes": MAX_BODY_BYTES},
+    "local_tool": {"timeout_ms": 12_000, "body_bytes": None},
+    "command": {"timeout_ms": 20_000, "body_bytes": None},
+}
+
 # Host names that never leave the machine or its network.
 INTERNAL_HOSTS = ("localhost", "localhost.localdomain", "ip6-localhost", "ip6-loopback", "metadata", "metadata.google.internal")
 INTERNAL_SUFFIXES = (".local", ".internal", ".localhost", ".home.arpa")

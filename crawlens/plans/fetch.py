@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crawlens.constants import MAX_BODY_BYTES, MAX_REDIRECTS
+from crawlens.constants import MAX_BODY_BYTES, MAX_REDIRECTS, PROFILES
 from crawlens.functions import urls
 from crawlens.session import cut
 from crawlens.sources.pages import capped
@@ -36,6 +36,19 @@ def followed(starts: DataFrame, responses: DataFrame, max_redirects: int = MAX_R
     return rows.select("url", F.col("at").alias("final_url"), "hops", "outcome")
 
 
+def fetched(starts: DataFrame, responses: DataFrame, max_redirects: int = MAX_REDIRECTS) -> DataFrame:
+    """url, final_url, hops, error (null where it was read), status and the other columns of the final response.
+
+    What the guarded fetch hands to a scan: a url that couldn't be read has a null status, so
+    its page counts as a network error. responses: url, status, location and more.
+    """
+    chain = followed(starts, responses, max_redirects)
+    rest = [c for c in responses.columns if c not in ("url", "location")]
+    last = responses.select(F.col("url").alias("at_url"), F.lit("ok").alias("at_outcome"), *rest)
+    both = chain.join(last, (F.col("final_url") == F.col("at_url")) & (F.col("outcome") == F.col("at_outcome")), "left")
+    return both.select("url", "final_url", "hops", F.when(F.col("outcome") != "ok", F.col("outcome")).alias("error"), *rest)
+
+
 def resolved(targets: DataFrame, dns: DataFrame) -> DataFrame:
     """url, ok, reason: the url's own check, then every address of its host; a host without addresses passes.
 
@@ -50,6 +63,15 @@ def resolved(targets: DataFrame, dns: DataFrame) -> DataFrame:
     return both.select("url", (F.col("own_ok") & fine).alias("ok"), F.when(~F.col("own_ok"), F.col("own_reason")).when(~fine, F.col("bad_reason")).otherwise("ok").alias("reason"))
 
 
+def read(responses: DataFrame, profile: str) -> DataFrame:
+    """responses (url, status, location, bytes, took_ms) as a runtime's fetch sees them: too slow is no answer; a long body is cut."""
+    limit = PROFILES[profile]
+    late = F.col("took_ms") > limit["timeout_ms"]
+    most = limit["body_bytes"]
+    body = capped("bytes", most) if most else F.make_valid_utf8(F.col("bytes").cast("string"))
+    return responses.select("url", F.when(~late, F.col("status")).alias("status"), F.when(~late, F.col("location")).alias("location"), F.when(~late, body).alias("body"))
+
+
 def bodies(raw: DataFrame, most: int = MAX_BODY_BYTES) -> DataFrame:
     """raw (url, bytes) with the body as text, cut at so many bytes."""
     return raw.select("url", capped("bytes", most).alias("body"), (F.octet_length("bytes") > most).alias("cut"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from crawlens import sinks
-from crawlens.constants import BOTS, DIMENSIONS
+from crawlens.constants import BOTS, DIMENSIONS, PROFILES
 from crawlens.functions import urls
 from crawlens.functions.columns import has_any, matching, present
 from crawlens.constants import ANSWER_TYPES, TIER_A, TIER_B
@@ -163,8 +163,8 @@ def _discovery(spark, sf_dir):
     pages = _in(spark, sf_dir, "PAGES")
     sites = pages.select(urls.origin(F.col("url")).alias("origin")).distinct()
     f = parsed(pages)
-    # The first page of a site stands for its home page.
-    homes = f.groupBy(urls.origin(F.col("url")).alias("origin")).agg(F.min_by(F.struct("url", F.col("facts.links").alias("links")), "page_id").alias("p")).select("origin", "p.url", "p.links")
+    # The last page of a site (its home page, where it has one) stands for its home page.
+    homes = f.groupBy(urls.origin(F.col("url")).alias("origin")).agg(F.max_by(F.struct("url", F.col("facts.links").alias("links")), "page_id").alias("p")).select("origin", "p.url", "p.links")
     return site.discovered(sites, _in(spark, sf_dir, "ROBOTS"), _in(spark, sf_dir, "SITEMAPS"), homes)
 
 
@@ -195,12 +195,12 @@ def _rows(spark, sf_dir):
 
 
 def site_score(spark, sf_dir):
-    r = site.rolled_up(_rows(spark, sf_dir))
-    return r.drop("hard_blocked", "soft_blocked", "robots_disallowed", "noindexed")
+    return site.rolled_up(_rows(spark, sf_dir))
 
 
 def site_lists(spark, sf_dir):
-    r = site.rolled_up(_rows(spark, sf_dir))
+    # The table's sites have few pages each.
+    r = site.rolled_up(_rows(spark, sf_dir), lists=True)
     return r.select("origin", *[F.array_join(c, " ").alias(c) for c in ("hard_blocked", "soft_blocked", "robots_disallowed", "noindexed")])
 
 
@@ -224,19 +224,43 @@ def page_summary(spark, sf_dir):
     return sinks.with_text(_scored(spark, sf_dir)).select("page_id", "summary")
 
 
+def console_report(spark, sf_dir):
+    return sinks.with_text(_scored(spark, sf_dir)).select("page_id", sinks.console_report().alias("report"))
+
+
 def tool_scan_url(spark, sf_dir):
     s = sinks.with_text(_scored(spark, sf_dir)).withColumn("check", urls.safety(F.col("url")))
     data = F.struct("url", "total", "grade")
-    bad = F.struct(F.lit("blocked_target").alias("error"), F.col("check.reason").alias("reason"))
-    r = F.when(F.col("check.ok"), sinks.tool_result(F.col("summary"), data, F.lit(False))).otherwise(sinks.tool_result(F.concat(F.lit("refused: "), F.col("check.reason")), bad, F.lit(True)))
+    r = F.when(F.col("check.ok"), sinks.tool_result(F.col("summary"), data, F.lit(False))).otherwise(sinks.tool_error(F.concat(F.lit("blocked:"), F.col("check.reason"))))
     return s.select("page_id", r.alias("r")).select("page_id", "r.text", "r.structured", "r.is_error")
 
 
+def tool_scan_site(spark, sf_dir):
+    """Every site by some url of it, with a cap or none; and urls that are refused, or of sites that nothing is known of."""
+    sites = _in(spark, sf_dir, "PAGES").groupBy("site").agg(F.min("page_id").alias("k"))
+    cap = F.when(F.col("k") % 4 == 0, F.lit(None)).otherwise(F.col("k") % 4 * 3 - 3.5)
+    asked = sites.select(F.concat("site", F.lit("/any?x=1")).alias("target"), cap.alias("max_pages"))
+    other = spark.createDataFrame([("http://10.9.8.7/a", 3.0), ("no url", None), ("ftp://example.org/", None), ("https://unseen.example.org/x", 2.0)], "target string, max_pages double")
+    rows, summary = site.sampled_rows(_pages(spark, sf_dir), _in(spark, sf_dir, "ROBOTS"), _in(spark, sf_dir, "LLMS"), _in(spark, sf_dir, "SITEMAPS"))
+    scans = site.asked_scans(asked.unionByName(other), rows, summary).withColumn("origin", urls.origin(F.col("target")))
+    data = F.struct("origin", "total", "grade", "pages", "source")
+    bad = F.concat(F.lit("blocked:"), F.col("check.reason"))
+    r = F.when(~F.col("check.ok"), sinks.tool_error(bad)).when(F.col("pages").isNull(), sinks.tool_error(F.lit("nothing could be read"))).otherwise(sinks.tool_result(sinks.site_summary(F.col("cap"), lists=True), data, F.lit(False)))
+    return scans.select("target", "cap", "pages", "total", r.alias("r")).select("target", "cap", "pages", "total", "r.structured", "r.is_error", F.element_at(F.split("r.text", "\n"), 1).alias("first_line"))
+
+
+def tool_errors(spark, sf_dir):
+    """What a failed fetch becomes in a tool's answer."""
+    r = _in(spark, sf_dir, "REDIRECTS")
+    failed = fetch.followed(r.select("url"), r).where("outcome <> 'ok'")
+    return failed.select("url", sinks.tool_error(F.col("outcome")).alias("r")).select("url", "r.text", "r.structured", "r.is_error")
+
+
 #: Urls of every kind that the safety rules tell apart; {} is the page's number.
 SAFETY_URLS = (
     "https://example.com/{}", "http://10.0.0.{}/", "http://172.15.0.1/{}", "http://172.31.255.255/{}", "http://2130706433/{}", "http://0x7f.1/{}", "http://0177.0.0.1/{}", "http://134744072/{}",
     "http://LOCALHOST:8080/{}", "http://router/{}", "http://foo.internal/{}", "ftp://example.com/{}", "not a url {}", "http://[::1]/{}", "http://[2001:4860:4860::8888]/{}", "http://100.64.0.1/{}",
-    "http://192.0.9.9/{}", "https://user:pw@sub.domain.co.id:443/a/{}",
+    "http://192.0.9.9/{}", "https://user:pw@deep.er.example.com:443/a/{}",
 )
 
 
@@ -255,6 +279,22 @@ def redirect_chain(spark, sf_dir):
     return fetch.followed(r.select("url"), r)
 
 
+def fetched_bodies(spark, sf_dir):
+    """The final answer of every redirecting url, as a scan gets it."""
+    r = _in(spark, sf_dir, "REDIRECTS").withColumn("body", F.concat(F.lit("body of "), F.col("url")))
+    return fetch.fetched(r.select("url"), r).select("url", "final_url", "hops", "error", "status", "body")
+
+
+def fetch_profiles(spark, sf_dir):
+    """Which answers each runtime reads in time, and how much of them."""
+    raw = _in(spark, sf_dir, "PAGES").select("url", "status", F.lit(None).cast("string").alias("location"), F.col("html").cast("binary").alias("bytes"), (F.col("page_id") * 97 % 23_000).alias("took_ms"))
+    out = None
+    for name in PROFILES:
+        seen = fetch.read(raw, name).agg(F.count("status").alias("answers"), F.count("body").alias("bodies"), F.sum(F.octet_length("body")).alias("bytes")).select(F.lit(name).alias("profile"), "*")
+        out = seen if out is None else out.unionByName(seen)
+    return out
+
+
 def capped_bodies(spark, sf_dir):
     raw = _in(spark, sf_dir, "PAGES").select("url", F.col("html").cast("binary").alias("bytes"))
     return fetch.bodies(raw, 1500).select("url", "cut", F.length(F.rtrim(F.replace("body", F.lit("�"), F.lit("")))).alias("chars"))
@@ -268,6 +308,14 @@ def quota_daily(spark, sf_dir):
     return admission.daily(_in(spark, sf_dir, "REQUESTS"), PER_IP, OVERALL).select("event_id", "day", "allowed", "blocked_by")
 
 
+def quota_resumed(spark, sf_dir):
+    """As quota_daily, going on from stored counters: every third ip has sent a request of the day before, every tenth two."""
+    requests = _in(spark, sf_dir, "REQUESTS")
+    ips = requests.select(admission.day().alias("day"), "ip").distinct().where("ip % 3 = 0").select("day", "ip", F.when(F.col("ip") % 10 == 0, 2).otherwise(1).alias("n"))
+    days = requests.select(admission.day().alias("day")).distinct().select("day", F.lit(None).cast("long").alias("ip"), F.lit(150).alias("n"))
+    return admission.daily(requests, PER_IP, OVERALL, ips.unionByName(days)).select("event_id", "day", "allowed", "blocked_by")
+
+
 def quota_weighted(spark, sf_dir):
     return admission.weighted(_in(spark, sf_dir, "REQUESTS"), 20, 1500)
 
@@ -313,6 +361,6 @@ def stream_quota(spark, sf_dir):
 QUERIES = (
     page_features, heading_levels, block_status, url_parts, robots_rules, robots_sitemaps, robots_rulings, crawler_access, llms_files, jsonld_nodes, schema_types,
     dimension_scores, answer_readiness, findings, fixes_ranked, top_fixes, page_report, grade_histogram, extracted_content, sitemap_locs, nav_links, discovery_summary,
-    discovery_candidates, section_counts, site_sample, truncated_sections, site_score, site_lists, site_capped, site_scan, site_summary, page_summary, tool_scan_url,
-    ssrf_urls, dns_check, redirect_chain, capped_bodies, rate_minute, quota_daily, quota_weighted, admission_outcome, stream_quota,
+    discovery_candidates, section_counts, site_sample, truncated_sections, site_score, site_lists, site_capped, site_scan, site_summary, page_summary, console_report, tool_scan_url, tool_scan_site, tool_errors,
+    ssrf_urls, dns_check, redirect_chain, fetched_bodies, fetch_profiles, capped_bodies, rate_minute, quota_daily, quota_resumed, quota_weighted, admission_outcome, stream_quota,
 )

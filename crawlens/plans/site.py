@@ -165,25 +165,35 @@ def listed(condition: Column) -> Column:
     return F.transform(F.array_sort(F.collect_list(F.when(condition, F.struct("ord", "url")))), lambda x: x.url)
 
 
-def rolled_up(rows: DataFrame) -> DataFrame:
-    """One row for each origin, by one grouping. rows: as of page_rows."""
+#: Lists of urls in a roll-up, and the rows (as SQL) they hold.
+LISTS = {
+    "hard_blocked": "block is null or block = 'HARD_BLOCK'",
+    "soft_blocked": "block = 'SOFT_BLOCK'",
+    "robots_disallowed": "block is not null and disallowed",
+    "noindexed": "block is not null and noindex",
+}
+
+
+def rolled_up(rows: DataFrame, lists: bool = False, by: tuple[str, ...] = ()) -> DataFrame:
+    """One row for each origin (and `by`), by one grouping of sums and extremes. rows: as of page_rows.
+
+    lists: with the urls of LISTS, all in one row, so only for sampled sites, whose pages
+    are few; else how many there are of each.
+    """
     scanned = F.col("block").isNotNull()
     counted = scanned & (F.col("block") != "HARD_BLOCK")
     homepage = F.concat("origin", F.lit("/"))
     away = F.when(scanned, F.struct((F.col("url") != homepage).alias("away"), "ord"))
     root = F.min_by(F.struct("url", "access", "llms"), away)
     portion, answer = F.when(counted, F.col("portion")).cast("double"), F.when(counted, F.col("answers")).cast("double")
-    agg = rows.groupBy("origin").agg(
+    agg = rows.groupBy("origin", *by).agg(
         root.alias("root"),
         F.count(F.lit(1)).alias("pages"),
         F.count_if(counted).alias("counted"),
         F.count_if(~scanned | (F.col("block") == "HARD_BLOCK")).alias("inaccessible"),
         *[half_up(f(portion), 10).alias(f"page_{n}") for n, f in (("mean", F.avg), ("median", F.median), ("stdev", F.stddev_pop), ("min", F.min), ("max", F.max))],
         *[half_up(f(answer), 10).alias(f"answer_{n}") for n, f in (("mean", F.avg), ("median", F.median), ("min", F.min), ("max", F.max))],
-        listed(~scanned | (F.col("block") == "HARD_BLOCK")).alias("hard_blocked"),
-        listed(F.col("block") == "SOFT_BLOCK").alias("soft_blocked"),
-        listed(scanned & F.col("disallowed")).alias("robots_disallowed"),
-        listed(scanned & F.col("noindex")).alias("noindexed"),
+        *[listed(F.expr(c)).alias(k) if lists else F.count_if(F.expr(c)).cast("int").alias(f"n_{k}") for k, c in LISTS.items()],
         F.min_by(F.when(counted, F.struct("url", "total")), F.when(counted, F.struct("total", "ord"))).alias("worst"),
     )
     access, llms = F.coalesce("root.access", F.lit(0)), F.coalesce("root.llms", F.lit(0))
@@ -192,6 +202,7 @@ def rolled_up(rows: DataFrame) -> DataFrame:
     reason = F.when(F.col("counted") > 0, None).when(F.col("root").isNotNull(), "every page was blocked").otherwise("nothing could be read")
     return agg.select(
         "origin",
+        *by,
         "pages",
         "counted",
         "inaccessible",
@@ -203,22 +214,24 @@ def rolled_up(rows: DataFrame) -> DataFrame:
         llms.alias("llms"),
         F.col("root.url").alias("site_source"),
         *[c for c in agg.columns if c.startswith(("page_", "answer_"))],
-        "hard_blocked",
-        "soft_blocked",
-        "robots_disallowed",
-        "noindexed",
+        *[k if lists else f"n_{k}" for k in LISTS],
         F.col("worst.url").alias("worst_url"),
         F.col("worst.total").alias("worst_total"),
     )
 
 
+def page_cap(asked: Column) -> Column:
+    """Pages reported of a site: as many as asked for, within 1 and the limit; null asks for all."""
+    return F.greatest(F.lit(1), F.least(F.lit(MAX_PAGES), F.floor(F.coalesce(asked, F.lit(float(MAX_PAGES)))))).cast("int")
+
+
 def capped(rows: DataFrame, max_pages: float) -> DataFrame:
     """Only the first pages of each site, as many as asked for within 1 and the limit, rolled up anew."""
-    return rolled_up(rows.where(F.col("ord") < max(1, min(MAX_PAGES, int(max_pages)))))
+    return rolled_up(rows.where(F.col("ord") < page_cap(F.lit(float(max_pages)))))
 
 
-def site_scan(pages: DataFrame, robots_txt: DataFrame, llms: DataFrame, sitemaps: DataFrame) -> DataFrame:
-    """From fetched pages and site files to the roll-up of each site's sample: origin, discovery, and the roll-up's columns.
+def sampled_rows(pages: DataFrame, robots_txt: DataFrame, llms: DataFrame, sitemaps: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """From fetched pages and site files: the rows of each site's sample (as of page_rows, in its order), and the summary of its discovery.
 
     A sampled url that wasn't fetched counts as a page whose scan failed.
     """
@@ -232,4 +245,23 @@ def site_scan(pages: DataFrame, robots_txt: DataFrame, llms: DataFrame, sitemaps
     sample = sampled(candidates)
     safe = sample.where(urls.safety(F.col("url")).ok)
     rows = page_rows(F.col("origin"), F.lit(0), reports).drop("ord")
-    return rolled_up(safe.select("origin", "ord", "url").join(rows, ["origin", "url"], "left")).join(summary, "origin")
+    return safe.select("origin", "ord", "url").join(rows, ["origin", "url"], "left"), summary
+
+
+def site_scan(pages: DataFrame, robots_txt: DataFrame, llms: DataFrame, sitemaps: DataFrame) -> DataFrame:
+    """The roll-up of each site's sample, with its lists, and its discovery."""
+    rows, summary = sampled_rows(pages, robots_txt, llms, sitemaps)
+    return rolled_up(rows, lists=True).join(summary, "origin")
+
+
+def asked_scans(targets: DataFrame, rows: DataFrame, summary: DataFrame) -> DataFrame:
+    """target, max_pages, check, cap and the capped roll-up of the target's site (null where it is refused or unknown).
+
+    targets: target (a url of the site), max_pages (null for all). A site is checked by its
+    origin before anything of it is read.
+    """
+    site = urls.origin(F.col("target"))
+    asked = targets.select("target", "max_pages", page_cap(F.col("max_pages").cast("double")).alias("cap"), urls.safety(F.coalesce(site, "target")).alias("check"), site.alias("origin"))
+    fine = asked.where("check.ok").select("target", "cap", "origin")
+    each = fine.join(rows, "origin").where(F.col("ord") < F.col("cap"))
+    return asked.join(rolled_up(each, lists=True, by=("target",)).join(summary, "origin").drop("origin"), "target", "left")

@@ -29,12 +29,14 @@ def build(master: str = "local[*]", shuffle_partitions: int = 8, **extra: str) -
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see: spark.checkpoint.dir; where it is unset, one of our own (tests)."""
+    """The folder all executors see: spark.checkpoint.dir. Where it is unset, one of our own if all runs on this machine (tests), else an error."""
     conf = spark.conf.get("spark.checkpoint.dir", None)
     if conf:
         return conf.rstrip("/")
     known = spark.sparkContext._jsc.sc().getCheckpointDir()
     if known.isEmpty():
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="crawlens-"))
         known = spark.sparkContext._jsc.sc().getCheckpointDir()
     return known.get().rstrip("/")

@@ -22,6 +22,12 @@ HEAD_GRAPH = (
     '{{"@type":"Article","author":{{"@type":"Person","name":"p"}},"datePublished":"2026-01-01"}},{{"@type":"WebSite"}}]}}</script>'
 )
 HEAD_BROKEN = '<script type="application/ld+json">{{ no json }}</script><meta name="robots" content="noindex, nosnippet">'
+HEAD_FAQ = (
+    '<script type="application/ld+json">[{{"@type":["FAQPage","https://schema.org/WebPage"],"mainEntity":[{{"@type":"Question","name":"q"}}]}},'
+    '{{"@type":"HowTo","name":"h"}},{{"@type":"BreadcrumbList"}},{{"@type":"Recipe"}}]</script><meta name="author" content="Somebody">'
+)
+BYLINE = '<article><p><span class="post-author">N. N.</span> <time datetime="2026-02-03">then</time></p>'
+MAIN = '<main><div class="faq-box"><p>Parcels take three days.</p></div><article>'
 BODY_QUESTIONS = (
     "<h2>What is this page about?</h2><p>In short it is a page that was made to have a paragraph of more than fifteen words after a heading.</p>"
     '<h2>Why is it so?</h2><h4>Steps</h4><ol><li>one</li><li>two</li></ol><table><tr><td>cell</td></tr></table><div itemscope itemtype="https://schema.org/Product">thing</div>'
@@ -40,8 +46,13 @@ SELECT page_id, url, {ORIGIN} AS site,
             WHEN 5 THEN replace(html, '<article>', '<article><p>Checking your browser before you go on.</p>')
             WHEN 6 THEN replace(html, '<article>', '<article><p>Subscribe to read this, members only.</p>')
             WHEN 7 THEN '{SHELL}'
-            ELSE html END AS html
-FROM {{pages}}
+            ELSE CASE page_id % 24
+                 WHEN 0 THEN replace(replace(replace(html, '</head>', '{HEAD_FAQ}</head>'), '<article>', '{MAIN}'), '</article>', '</article></main>')
+                 WHEN 8 THEN replace(replace(replace(html, '<nav>', '<header><nav>'), '</nav>', '</nav></header>'), '<article>', '{BYLINE}')
+                 ELSE html END END AS html
+FROM (SELECT page_id, url, html FROM {{pages}}
+      UNION ALL
+      SELECT page_id + 1000000 AS page_id, {ORIGIN} || '/' AS url, html FROM {{pages}} WHERE page_id IN (SELECT min(page_id) FROM {{pages}} GROUP BY {ORIGIN}) AND page_id % 3 <> 1) p
 """
 
 SITES = f"SELECT {ORIGIN} AS origin, min(page_id) AS k, count(*) AS n FROM {{pages}} GROUP BY 1"
@@ -49,11 +60,11 @@ SITES = f"SELECT {ORIGIN} AS origin, min(page_id) AS k, count(*) AS n FROM {{pag
 ROBOTS = f"""
 SELECT origin, CASE WHEN k % 7 = 6 THEN 404 ELSE 200 END AS status,
        CASE k % 5
-            WHEN 0 THEN 'User-agent: *' || chr(10) || 'Allow: /' || chr(10) || 'Disallow: /wp-admin/' || chr(10) || 'Sitemap: ' || origin || '/sitemap.xml'
-            WHEN 1 THEN '# crawlers' || chr(10) || 'User-agent: GPTBot' || chr(10) || 'Disallow: /' || chr(10) || chr(10) || 'User-agent: claude' || chr(10) || 'User-agent: CCBot' || chr(10) || 'Disallow: /fr/ # not these' || chr(10) || 'User-agent: *' || chr(10) || 'Disallow: /admin/'
+            WHEN 0 THEN 'User-agent:' || chr(9) || '*' || chr(160) || chr(13) || chr(10) || chr(9) || 'Disallow:' || chr(9) || '/fr/1' || chr(13) || chr(10) || 'Allow:' || chr(160) || '/fr/*1*9' || chr(10) || 'Sitemap:' || chr(9) || origin || '/sitemap.xml' || chr(9)
+            WHEN 1 THEN '# crawlers' || chr(10) || 'User-agent:' || chr(9) || 'GPTBot' || chr(10) || 'Disallow:' || chr(9) || '/' || chr(10) || chr(10) || 'User-agent: claude' || chr(10) || 'User-agent: CCBot' || chr(10) || 'Disallow: /fr/ # not these' || chr(10) || 'User-agent: *' || chr(10) || 'Disallow: /admin/'
             WHEN 2 THEN 'User-agent: *' || chr(10) || 'Disallow: /en' || chr(10) || 'Allow: /en/*5' || chr(10) || 'Disallow: /*.html$'
             WHEN 3 THEN 'Disallow: /' || chr(10) || 'User-agent: Bytespider' || chr(10) || 'Sitemap: ' || origin || '/index.xml' || chr(10) || 'User-agent: Diffbot' || chr(10) || 'Allow: /de' || chr(10) || 'Disallow: /de' || chr(10) || 'Disallow: /es' || chr(10) || 'Crawl-delay: 5' || chr(10) || 'User-agent: *' || chr(10) || 'Disallow:'
-            ELSE '   ' END AS body
+            ELSE ' ' || chr(9) || chr(10) || chr(160) END AS body
 FROM ({SITES}) s
 """
 
@@ -62,10 +73,10 @@ SELECT origin, CASE WHEN k % 4 = 3 THEN 404 ELSE 200 END AS status,
        CASE k % 6
             WHEN 0 THEN '# Site' || chr(10) || chr(10) || '> About.' || chr(10) || '## Pages' || chr(10) || '- [a](' || origin || '/a)'
             WHEN 1 THEN 'no title here, [a](' || origin || '/a)'
-            WHEN 2 THEN '<!doctype html><html></html>'
+            WHEN 2 THEN chr(10) || chr(9) || '<!doctype html><html></html>'
             WHEN 3 THEN '#' || chr(10) || 'x'
             WHEN 4 THEN '# Title' || chr(10) || 'See [a](' || origin || '/a)'
-            ELSE '' END AS body,
+            ELSE chr(9) || chr(10) END AS body,
        k % 3 = 0 AS full_present
 FROM ({SITES}) s
 """
@@ -75,7 +86,7 @@ SITEMAPS = f"""
 SELECT origin, origin || '/sitemap.xml' AS url, 200 AS status,
        '<urlset>' || locs || '<url><loc>https://other.example.com/en/1</loc></url><url><LOC> http://127.0.0.1/x </LOC></url></urlset>' AS body
 FROM (SELECT s.origin, l.locs FROM ({SITES}) s JOIN (
-        SELECT {ORIGIN} AS origin, {{agg}} AS locs FROM {{pages}} GROUP BY 1) l ON s.origin = l.origin WHERE s.k % 5 <> 3) a
+        SELECT {ORIGIN} AS origin, {{agg}} AS locs FROM {{pages}} GROUP BY 1) l ON s.origin = l.origin WHERE s.k % 5 <> 3 AND s.k % 4 <> 1) a
 UNION ALL
 SELECT origin, origin || '/index.xml', 200,
        '<sitemapindex ><sitemap><loc>' || origin || '/a.xml</loc></sitemap><sitemap><loc>' || origin || '/index.xml</loc></sitemap><sitemap><loc>https://other.example.com/b.xml</loc></sitemap><sitemap><loc>' || origin || '/b.xml</loc></sitemap></sitemapindex>'

@@ -29,19 +29,37 @@ def per_minute(requests: DataFrame, page: int = PAGE_PER_MINUTE, site: int = SIT
     return requests.withColumn("in_minute", place).withColumn("allowed", F.col("in_minute") <= limit)
 
 
-def daily(requests: DataFrame, per_ip: int = DAILY_PER_IP, overall: int = DAILY_GLOBAL) -> DataFrame:
+def daily(requests: DataFrame, per_ip: int = DAILY_PER_IP, overall: int = DAILY_GLOBAL, stored: DataFrame | None = None) -> DataFrame:
     """requests with day, allowed and blocked_by (global before ip_daily). Only accepted requests count.
 
-    A request's ip count is its place among its ip's requests of the day, as long as the ip's
-    limit isn't reached; the day's count is that of earlier requests within their ip's limit.
+    stored: counters to go on from: day, ip (null for the day's total), n.
+
+    An ip's limit cuts its day at the last request that it still holds, and the day's limit
+    cuts the day at the last of those, so a request is judged by two times. Both are found by
+    ranks up to a limit, which Spark bounds before it shuffles: neither a day nor a busy ip
+    is sorted by one task.
     """
-    own = F.row_number().over(W.partitionBy("ip", "day").orderBy("ts", "event_id"))
-    rows = requests.withColumn("day", day()).withColumn("r", own)
-    before = W.partitionBy("day").orderBy("ts", "event_id").rowsBetween(W.unboundedPreceding, -1)
-    used = F.coalesce(F.sum((F.col("r") <= per_ip).cast("int")).over(before), F.lit(0))
-    rows = rows.withColumn("used", used)
-    by = F.when(F.col("used") >= overall, "global").when(F.col("r") > per_ip, "ip_daily")
-    return rows.withColumn("blocked_by", by).withColumn("allowed", by.isNull()).drop("r", "used")
+    rows = requests.withColumn("day", day()).withColumn("at", F.struct("ts", "event_id"))
+    left = total = None
+    if stored is not None:
+        left = stored.where("ip is not null").groupBy("day", "ip").agg(F.greatest(F.lit(0), per_ip - F.sum("n")).cast("int").alias("room"))
+        total = stored.where("ip is null").groupBy("day").agg(F.greatest(F.lit(0), overall - F.sum("n")).cast("int").alias("free"))
+    rank = F.row_number().over(W.partitionBy("day", "ip").orderBy("ts", "event_id"))
+    first = rows.select("day", "ip", "ts", "event_id", "at").withColumn("r", rank).where(F.col("r") <= per_ip)
+    first = first.withColumn("room", F.lit(per_ip)) if left is None else first.join(left, ["day", "ip"], "left").withColumn("room", F.coalesce("room", F.lit(per_ip)))
+    held = first.where("r <= room")
+    ip_cut = first.groupBy("day", "ip").agg(F.max("room").alias("ip_room"), F.count_if(F.col("r") <= F.col("room")).alias("held"), F.max(F.when(F.col("r") <= F.col("room"), F.col("at"))).alias("ip_last"))
+    place = F.row_number().over(W.partitionBy("day").orderBy("ts", "event_id"))
+    early = held.select("day", "ts", "event_id", "at").withColumn("p", place).where(F.col("p") <= overall)
+    early = early.withColumn("free", F.lit(overall)) if total is None else early.join(total, "day", "left").withColumn("free", F.coalesce("free", F.lit(overall)))
+    day_cut = early.groupBy("day").agg(F.max("free").alias("free"), F.max("p").alias("p"), F.max(F.when(F.col("p") <= F.col("free"), F.col("at"))).alias("day_last"))
+    both = rows.join(ip_cut, ["day", "ip"], "left").join(day_cut, "day", "left")
+    if total is not None:
+        both = both.drop("free").join(total, "day", "left").withColumn("free", F.coalesce("free", F.lit(overall)))
+    over_day = F.coalesce((F.col("free") <= 0) | ((F.col("p") >= F.col("free")) & (F.col("at") > F.col("day_last"))), F.lit(False))
+    over_ip = (F.col("ip_room") <= 0) | ((F.col("held") >= F.col("ip_room")) & (F.col("at") > F.col("ip_last")))
+    by = F.when(over_day, "global").when(over_ip, "ip_daily")
+    return both.withColumn("blocked_by", by).withColumn("allowed", by.isNull()).select(*requests.columns, "day", "blocked_by", "allowed")
 
 
 def weighted(requests: DataFrame, per_ip: int = DAILY_PER_IP, overall: int = DAILY_GLOBAL) -> DataFrame:

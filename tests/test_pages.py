@@ -1,5 +1,8 @@
 """Page facts, scores and reports, on pages written here."""
 
+import time
+
+import pytest
 from pyspark.sql import functions as F
 
 from crawlens.functions import htmltree
@@ -7,7 +10,7 @@ from crawlens.operators import llms_txt, report, robots
 from crawlens.plans import site
 from crawlens.sinks import with_text
 
-ALLOW = "User-agent: *\nAllow: /\nDisallow: /wp-admin/\nSitemap: https://example.com/sitemap.xml"
+ALLOW = "User-agent: *\nDisallow: /drafts\nSitemap: https://example.com/pages.xml"
 GOOD_LLMS = "# Site\n\n## Pages\n- [a](https://example.com/a)"
 RICH = (
     '<!DOCTYPE html><html lang="en"><head><title>A guide to reading pages by machine</title><meta name="Description" content="' + "d" * 80 + '"><link rel="canonical" href="https://example.com/g">'
@@ -36,7 +39,75 @@ def test_text_rules():
     assert htmltree.facts("<p>a<p>b<ul><li>c<li>d</ul>")["visible_text"] == "a b c d"
     assert htmltree.facts("<main>a</main><article>b</article>")["main_word_count"] == 1
     assert htmltree.facts("<p>cut off <b")["word_count"] >= 2
-    assert htmltree.facts("<div " * 3000)["word_count"] >= 0
+    assert htmltree.facts("<p>a &lt b<p>1 < 2 <3")["visible_text"] == "a < b 1 < 2 <3"
+    assert htmltree.facts("<p title='a>b'>c</p><p title=\"d>e>f</p>")["word_count"] == 3
+    assert htmltree.facts("<p>&#" + "9" * 6000 + ";</p>")["visible_text"] == "\ufffd"
+    assert htmltree.facts("<h1>a<h2>b</h2><p>c d</p>")["headings"] == [{"level": 1, "text": "a", "next_tag": "h2", "next_words": 1}, {"level": 2, "text": "b", "next_tag": "p", "next_words": 2}]
+    assert htmltree.facts("<title>\u00a0 t\ufeff\n</title>")["title"] == "t"
+    nested = htmltree.facts("<main>a b<main>c</main></main><div id='root'> <i></i></div>")
+    assert nested["main_word_count"] == 4 and nested["empty_root"]
+
+
+MIB3 = 3 << 20
+HOSTILE = {
+    "deep": "<div>" * 10_000 + "x",
+    "unclosed": "<a " * (MIB3 // 3),
+    "unclosed, a tag at the end": "<a " * (MIB3 // 3) + ">",
+    "quote": '<a x="' * (MIB3 // 6),
+    "other quote": "<p a='" * (MIB3 // 6),
+    "both quotes": "<a x='\" " * (MIB3 // 8) + "\">",
+    "closed in quotes only": '<a ">"' * (MIB3 // 6),
+    "names": "<a" * (MIB3 // 2),
+    "signs": "<" * MIB3,
+    "comments": "<!--" * (MIB3 // 4),
+    "declarations": "<!" * (MIB3 // 2),
+    "scripts": "<script " * (MIB3 // 8),
+    "end tags": "</b>" * (MIB3 // 16),
+    "unmatched end tags in the deep": "<div>" * 20_000 + "</b>" * 20_000,
+    "paragraphs in the deep": "<div><p>" * 20_000,
+    "nested headings": "<h1>a<table>" * 10_000,
+    "nested mains": "<main>a " * 20_000,
+    "blank": " " * MIB3,
+}
+
+
+@pytest.mark.parametrize("name", HOSTILE)
+def test_no_page_takes_long(name):
+    """Two seconds of this process's time, and as much again for a busy machine."""
+    start = time.process_time()
+    htmltree.facts(HOSTILE[name])
+    assert time.process_time() - start < 4
+
+
+def test_deep_markup_in_a_job(spark):
+    deep = "<div>" * 10_000 + "<p>x</p>"
+    row = scored(spark, [(200, None, deep)]).first()
+    assert row.facts.word_count == 1
+
+
+def test_text_forms(spark):
+    from crawlens import sinks
+
+    rows = scored(spark, [(200, None, RICH)], robots_txt="User-agent: *\nDisallow: /")
+    r = rows.withColumn("console", sinks.console_report()).withColumn("pretty", sinks.json_text(F.struct("url", "total"), pretty=True)).withColumn("plain", sinks.json_text(F.struct("url", "total"))).first()
+    lines = r.summary.split("\n")
+    assert lines[0] == "page https://example.com/0" and "types Organization, WebSite, BreadcrumbList, Article, Person, FAQPage, Question, Event" in lines
+    assert "refused GPTBot, OAI-SearchBot, ChatGPT-User, ClaudeBot, Claude-User, anthropic-ai, …" in lines
+    assert len(r.fixes) == sum(x.startswith("  - [") for x in lines) or len(r.fixes) > 5
+    assert r.console.startswith(r.summary[: len("page https")]) and r.plain == '{"url":"https://example.com/0","total":%d}' % r.total
+    assert r.pretty.split("\n")[1].strip().startswith('"url"')
+    share = spark.range(1).select(sinks.percent(F.lit(1.0), F.lit(8.0)).alias("a"), sinks.shortened(F.array(F.lit("x"), F.lit("y")), 2).alias("b")).first()
+    assert (share.a, share.b) == ("13%", "x, y")
+
+
+def test_json_sink(spark, tmp_path):
+    from crawlens import sinks
+
+    sinks.write_json(spark.createDataFrame([("https://a.example", 3)], "origin string, total int"), str(tmp_path / "out"))
+    assert [tuple(r) for r in spark.read.json(str(tmp_path / "out")).select("origin", "total").collect()] == [("https://a.example", 3)]
+    rows = spark.createDataFrame([(f"https://{i % 3}.example", f"https://{i % 3}.example/{i}") for i in range(20)], "origin string, url string")
+    sinks.write_parquet(rows, str(tmp_path / "table"), 2)
+    assert spark.read.parquet(str(tmp_path / "table")).count() == 20
 
 
 def test_structured_data_of_a_page():
@@ -82,6 +153,14 @@ ROBOTS = [
     ("Disallow: /\nUser-agent: other\nDisallow: /", "Diffbot", "/", True),
     ("User-agent: *\nDisallow: /a\nAllow: /a", "Diffbot", "/a", True),
     ("User-agent: *\nDisallow: *", "Diffbot", "/a", False),
+    ("User-agent:\tGPTBot\r\n\tDisallow:\t/x\u00a0", "GPTBot", "/x/y", False),
+    ("\ufeffUser-agent: GPTBot\nDisallow: /x", "GPTBot", "/x/y", False),
+    ("User-agent: *\nDisallow: /a**b*c$", "CCBot", "/a-b--c", False),
+    ("User-agent: *\nDisallow: /a**b*c$", "CCBot", "/a-b--c-", True),
+    ("User-agent: *\nDisallow: /*a*b", "CCBot", "/bbaab", False),
+    ("User-agent: *\nDisallow: /*ab*ba$", "CCBot", "/aba", True),
+    ("User-agent: *\nDisallow: /*.(x)$", "CCBot", "/q.(x)", False),
+    ("User-agent: *\nDisallow: /" + "*a" * 30 + "b", "CCBot", "/" + "a" * 3000, True),
     ("User-agent: CCBot\nSitemap: x\nUser-agent: Diffbot\nDisallow: /q", "CCBot", "/q", False),
     ("User-agent: CCBot\nCrawl-delay: 1\nUser-agent: Diffbot\nDisallow: /q", "CCBot", "/q", True),
 ]
@@ -95,7 +174,7 @@ def test_robots(spark):
 
 
 def test_llms_shape(spark):
-    cases = {"# T\n\n## S": True, "# T\n[a](b)": True, "": False, None: False, "<!doctype html><html></html>": False, "text\n- [a](https://x.com)": False, "#\nx": False, "# T\nno more": False}
+    cases = {"# T\n\n## S": True, "# T\n[a](b)": True, "": False, None: False, "<!doctype html><html></html>": False, "text\n- [a](https://x.com)": False, "#\nx": False, "# T\nno more": False, "\n\t<!doctype html># T\n## S": False, "#\u00a0T\n##\tS": True, "\n\u00a0": False}
     df = spark.createDataFrame([(b,) for b in cases], "b string").select(llms_txt.shape(F.col("b")).alias("s"))
     assert [r.s.ok for r in df.collect()] == list(cases.values())
 
@@ -106,7 +185,7 @@ ROW = "origin string, ord int, url string, block string, portion int, access int
 def roll(spark, rows, cap=None):
     out = [("https://e.com", i, "https://e.com/" + (str(i) if i else ""), b, p, a, m, t, 50, d, n) for i, (b, p, a, m, t, d, n) in enumerate(rows)]
     df = spark.createDataFrame(out, ROW)
-    return (site.capped(df, cap) if cap else site.rolled_up(df)).first()
+    return (site.capped(df, cap) if cap else site.rolled_up(df, lists=True)).first()
 
 
 def test_roll_up(spark):

@@ -99,6 +99,31 @@ def test_redirects(spark):
     assert got["https://gone.com/"][2] == "network_error" and got["http://10.0.0.1/"][2] == "blocked:private_ipv4"
 
 
+def test_fetched(spark):
+    rows = [("https://a.com/", 301, "/b", None), ("https://a.com/b", 404, None, "none here"), ("https://in.com/", 302, "http://10.0.0.1/", "moved"), ("http://10.0.0.1/", 200, None, "secret")]
+    r = spark.createDataFrame(rows, "url string, status int, location string, body string")
+    starts = spark.createDataFrame([(u,) for u in ("https://a.com/", "https://in.com/", "https://gone.com/")], "url string")
+    got = {x.url: tuple(x)[1:] for x in fetch.fetched(starts, r).collect()}
+    assert got == {"https://a.com/": ("https://a.com/b", 1, None, 404, "none here"), "https://in.com/": ("http://10.0.0.1/", 1, "blocked:private_ipv4", None, None), "https://gone.com/": ("https://gone.com/", 0, "network_error", None, None)}
+
+
+def test_fetch_profiles(spark):
+    raw = spark.createDataFrame([("u", 200, None, bytearray(b"x" * (3 << 20) + b"yy"), 9_500), ("v", 200, None, bytearray(b"ok"), 9_000)], "url string, status int, location string, bytes binary, took_ms int")
+    got = {(p, r.url): (r.status, r.body and len(r.body)) for p in ("library", "service", "command") for r in fetch.read(raw, p).collect()}
+    assert got[("library", "u")] == got[("command", "u")] == (200, (3 << 20) + 2) and got[("service", "u")] == (None, None) and got[("service", "v")] == (200, 2)
+
+
+def test_asked_scans(spark):
+    rows = [(O, i, f"{O}/" + (f"p/{i}" if i else ""), "OK" if i < 3 else "HARD_BLOCK", 40 + i, 20, 8, 60 + i, 50, False, False) for i in range(5)]
+    sampled = spark.createDataFrame(rows, "origin string, ord int, url string, block string, portion int, access int, llms int, total int, answers int, disallowed boolean, noindex boolean")
+    summary = spark.createDataFrame([(O, "sitemap", 5, True, True, 0)], "origin string, source string, found long, robots_found boolean, sitemap_found boolean, dropped long")
+    targets = spark.createDataFrame([(f"{O}/x", 2.9), (f"{O}/y", None), (f"{O}/z", 0.0), (f"{O}/", 99.0), ("http://localhost/", 3.0), ("https://other.example.org/", 3.0)], "target string, max_pages double")
+    got = {r.target: r for r in site.asked_scans(targets, sampled, summary).collect()}
+    assert [(got[t].cap, got[t].pages, got[t].page_mean) for t in (f"{O}/x", f"{O}/y", f"{O}/z", f"{O}/")] == [(2, 2, 40.5), (15, 5, 41.0), (1, 1, 40.0), (15, 5, 41.0)]
+    assert got[f"{O}/y"].hard_blocked == [f"{O}/p/3", f"{O}/p/4"]
+    assert got["http://localhost/"].check.reason == "internal_hostname" and got["https://other.example.org/"].check.ok and got["https://other.example.org/"].pages is None
+
+
 def test_dns(spark):
     dns = spark.createDataFrame([("a.com", "8.8.8.8", 4, 0), ("a.com", "10.0.0.1", 4, 1), ("b.com", "1.1.1.1", 4, 0)], "host string, address string, family int, ord int")
     t = spark.createDataFrame([("https://a.com/",), ("https://b.com/",), ("https://c.com/",), ("http://127.0.0.1/",)], "url string")
@@ -137,6 +162,48 @@ def test_quotas(spark):
         assert {r.event_id: r.blocked_by for r in admission.weighted(df, per_ip, overall).collect()} == sequential(rows, per_ip, overall, True)
 
 
+def test_quotas_go_on_from_stored_counters(spark):
+    rows, df = requests(spark)
+    # Some of the requests were counted before: what they leave is what a run over all decides for the rest.
+    start = datetime(2026, 1, 1)
+    before = [r for r in rows if (r[1] - start).seconds < 6 * 3600]
+    after = [r for r in rows if (r[1] - start).seconds >= 6 * 3600]
+    for per_ip, overall in ((3, 20), (10, 60), (100, 40), (2, 1000)):
+        done, want = sequential(before, per_ip, overall, False), sequential(rows, per_ip, overall, False)
+        counts = {}
+        for e, ts, ip, *_ in before:
+            if done[e] is None:
+                for k in ((ts.strftime("%Y-%m-%d"), ip), (ts.strftime("%Y-%m-%d"), None)):
+                    counts[k] = counts.get(k, 0) + 1
+        stored = spark.createDataFrame([(d, ip, n) for (d, ip), n in counts.items()], "day string, ip bigint, n int")
+        got = admission.daily(spark.createDataFrame(after, df.schema), per_ip, overall, stored)
+        assert got.columns == [*df.columns, "day", "blocked_by", "allowed"]
+        assert {r.event_id: r.blocked_by for r in got.collect()} == {e: want[e] for e, *_ in after}
+
+
+def test_daily_quota_sorts_no_day_in_one_task(spark):
+    _, df = requests(spark)
+    plan = admission.daily(df)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("WindowGroupLimit") >= 2
+
+
+def test_a_streams_counters_end(spark, tmp_path):
+    start = datetime(2026, 1, 1, 12)
+    files = [[(i, start + timedelta(minutes=i), 1, "page", 1) for i in range(5)], [(10, start + timedelta(days=9), 1, "page", 1)], [(20, start, 1, "page", 1), (21, start + timedelta(days=9), 2, "page", 1)]]
+    schema = "event_id bigint, ts timestamp, ip bigint, route string, weight int"
+    source = str(tmp_path / "in")
+    for k, rows in enumerate(files):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(schema).parquet(source)
+        q = admission.stream_daily(stream, 3, 60).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+        q.awaitTermination()
+        last = q.lastProgress
+    got = {r.event_id: r.blocked_by for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    # The late request has no counter any more, so no decision; only the newest day's is kept.
+    assert got == {0: None, 1: None, 2: None, 3: "ip_daily", 4: "ip_daily", 10: None, 21: None}
+    assert last["stateOperators"][0]["numRowsTotal"] == 1
+
+
 def test_minute_limit(spark):
     rows, df = requests(spark)
     seen, want = {}, {}
