@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -26,18 +27,28 @@ def fresh_dir(spark: SparkSession, name: str) -> str:
 
 #: A write's shuffle files are dropped when it has ended, not when the driver happens to collect its garbage.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+RECORDS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Cut lineage by a written table in the shared folder; survives the loss of executors."""
+@contextmanager
+def settings(spark: SparkSession, **values: str) -> Iterator[None]:
+    """Session settings for one step (names with dots, as a dictionary)."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def staged(df: DataFrame, name: str, records: int | None = None) -> DataFrame:
+    """Cut lineage by a written table in the shared folder; survives the loss of executors. records: rows handed to Python at once, where they are large."""
     spark = df.sparkSession
     path = fresh_dir(spark, name)
-    before = spark.conf.get(CLEANUP, None)
-    spark.conf.set(CLEANUP, "true")
-    try:
+    with settings(spark, **{CLEANUP: "true"} | ({RECORDS: str(records)} if records else {})):
         df.write.parquet(path)
-    finally:
-        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -60,6 +71,14 @@ def located(df: DataFrame, name: str = "rows") -> DataFrame:
     return df.select("*", meta["file_path"].alias("__crawlens_file"), meta["row_index"].alias("__crawlens_row"))
 
 
+def free(name: str, taken: list[str]) -> str:
+    """name, with underscores after it as long as a column is called so already (in any case)."""
+    lower = {c.lower() for c in taken}
+    while name.lower() in lower:
+        name += "_"
+    return name
+
+
 def text_of(col: str = "text"):
     """Null text counts as empty."""
     return F.coalesce(F.col(col), F.lit(""))
@@ -71,14 +90,14 @@ def batches_of(table_or_batch: pa.RecordBatch, rows: int = 512) -> Iterator[pa.R
         yield table_or_batch.slice(start, rows)
 
 
-def released(spark: SparkSession, *tables: DataFrame) -> None:
-    """Delete staged tables that nothing will read again, and let Spark drop the shuffle files of ended steps."""
-    import gc
+def removed(spark: SparkSession, folder: str) -> None:
+    """Delete a folder of ours."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
-    jvm = spark.sparkContext._jvm
+
+def released(spark: SparkSession, *tables: DataFrame) -> None:
+    """Delete staged tables that nothing will read again."""
     for df in tables:
         for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-    gc.collect()
-    jvm.System.gc()
+            removed(spark, folder)

@@ -4,7 +4,8 @@ Each round points every node's greater neighbours, then its smaller ones, at the
 node it sees (Kiveris et al., "Connected Components in MapReduce and Beyond", 2014). The
 links end as stars around each component's least node. Minima are combined before the
 shuffle, the joins back are equi-joins that adaptive execution can split, and each round
-is checkpointed, so nothing is gathered in one place.
+is written in the shared folder (the one before is deleted), so nothing is gathered in one
+place and no lineage grows.
 """
 
 from __future__ import annotations
@@ -12,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from crawlens.llm.common import released, staged
+
 
 def _sum(links: DataFrame) -> tuple:
     row = links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
@@ -19,8 +22,8 @@ def _sum(links: DataFrame) -> tuple:
 
 
 def stars(links: DataFrame) -> DataFrame:
-    """links: (u, v) of type long, any order, repeats and loops allowed. Returns (u, v): v is the least node of u's component, u != v."""
-    edges = links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u != v").distinct().checkpoint()
+    """links: (u, v) of type long, any order, repeats and loops allowed. Returns (u, v), staged: v is the least node of u's component, u != v."""
+    edges = staged(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u != v").distinct(), "edges")
     seen = None
     while (now := _sum(edges)) != seen and now[0]:
         seen = now
@@ -29,5 +32,6 @@ def stars(links: DataFrame) -> DataFrame:
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = small.unionByName(low.select("u", F.col("m").alias("v"))).distinct().checkpoint()
+        before, edges = edges, staged(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        released(links.sparkSession, before)
     return edges
