@@ -7,8 +7,9 @@ filled table is of fixed size and broadcast; a row's key is hashed to a slot, wh
 is its shard. Shares differ by at most one slot, and a shard that leaves moves few keys
 besides its own.
 
-Defined results: a null key is hashed like the empty string; equal keys share a shard;
-an empty table gives an empty result.
+Defined results: a null key is hashed like the empty string; equal keys share a shard, so
+repeated rows do; texts aren't read, whatever their length; an empty table gives an empty
+result; columns that clash are kept (see `placed`).
 """
 
 from __future__ import annotations
@@ -17,6 +18,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from crawlens.llm.common import free
+
 #: Slots; prime and over a hundred times the usual number of shards.
 SLOTS = 65537
 
@@ -49,15 +52,22 @@ def lookup(spark: SparkSession, shards: list[str], slots: int = SLOTS) -> DataFr
 
 
 def placed(df: DataFrame, key: str, shards: list[str], slots: int = SLOTS) -> DataFrame:
-    """df with slot and shard; no shuffle, the table of `slots` rows is broadcast."""
+    """df, all columns, with slot and shard; no shuffle, the table of `slots` rows is broadcast.
+
+    Where df has a column of that name, ours gets underscores after it (`slot_`, `shard_`).
+    """
     slot = F.pmod(F.xxhash64(F.coalesce(F.col(key).cast("string"), F.lit(""))), F.lit(slots)).cast("int")
-    return df.withColumn("slot", slot).join(F.broadcast(lookup(df.sparkSession, shards, slots)), "slot").select(*df.columns, "slot", "shard")
+    place, owner = free("slot", df.columns), free("shard", df.columns)
+    table = lookup(df.sparkSession, shards, slots).select(F.col("slot").alias("__crawlens_slot"), F.col("shard").alias("__crawlens_shard"))
+    out = df.withColumn("__crawlens_slot", slot).join(F.broadcast(table), "__crawlens_slot")
+    return out.select(*df.columns, F.col("__crawlens_slot").alias(place), F.col("__crawlens_shard").alias(owner))
 
 
 def write(df: DataFrame, key: str, shards: list[str], path: str, files_per_shard: int = 8) -> None:
-    """Parquet folders shard=<name>; a shard's rows are dealt over several tasks by slot."""
+    """Parquet folders shard=<name> (`shard_` if df has such a column); a shard's rows are dealt over `files_per_shard` tasks by slot."""
     rows = placed(df, key, shards)
-    rows.repartition(len(shards) * files_per_shard, "shard", F.pmod("slot", F.lit(files_per_shard))).drop("slot").write.partitionBy("shard").parquet(path)
+    slot, shard = rows.columns[-2:]
+    rows.repartition(len(shards) * files_per_shard, shard, F.pmod(slot, F.lit(files_per_shard))).drop(slot).write.partitionBy(shard).parquet(path)
 
 
 def report(docs: DataFrame, shards: int = 64) -> DataFrame:
