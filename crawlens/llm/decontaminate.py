@@ -16,7 +16,9 @@ Defined results: null texts or items and items without characters match nothing;
 shorter than q characters that have no edit must occur exactly; the edit budget is `edits` of
 the item's length; of overlapping matches
 of an item in one text the one with fewest edits (then the first) is reported; places are
-offsets in the collapsed text; repeated rows each have their matches.
+offsets in the collapsed text; repeated rows each have their matches; very long texts are
+searched whole, at most CHUNK characters and one text more at once; other columns, whatever
+their names, are ignored by `found` and kept by `clean`.
 """
 
 from __future__ import annotations
@@ -34,8 +36,9 @@ from crawlens.llm.common import batches_of
 
 Q = 8
 EDITS = 0.1
-#: Characters of benchmark text in one block (and so in one broadcast).
-BLOCK = 8_000_000
+#: Characters of benchmark text in one block (and so in one broadcast). A gram takes 24 bytes of an index, so a block's
+#: takes 100 MB at most in each Python worker, and its items' texts 4 MB to 16 MB.
+BLOCK = 4_000_000
 #: Characters of document text searched at once.
 CHUNK = 1_000_000
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
@@ -84,13 +87,14 @@ class Index:
         for k, t in enumerate(self.texts):
             h = gram_hashes(points(t), self.q)
             hashes.append(h)
-            item.append(np.full(len(h), k, np.int64))
-            place.append(np.arange(len(h), dtype=np.int64))
+            item.append(np.full(len(h), k, np.int32))
+            place.append(np.arange(len(h), dtype=np.int32))
         h = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
         order = np.argsort(h, kind="stable")
-        self.item = (np.concatenate(item) if item else np.zeros(0, np.int64))[order]
-        self.place = (np.concatenate(place) if place else np.zeros(0, np.int64))[order]
+        self.item = (np.concatenate(item) if item else np.zeros(0, np.int32))[order]
+        self.place = (np.concatenate(place) if place else np.zeros(0, np.int32))[order]
         self.grams, self.first, self.count = np.unique(h[order], return_index=True, return_counts=True)
+        self.first, self.count = self.first.astype(np.int32), self.count.astype(np.int32)
         self.sieve = np.zeros(1 << SIEVE, bool)
         self.sieve[self.grams >> np.uint64(64 - SIEVE)] = True
 
@@ -105,13 +109,13 @@ class Index:
         k = np.minimum(np.searchsorted(self.grams, h), len(self.grams) - 1)
         hit = self.grams[k] == h
         at, k = at[hit], k[hit]
-        n = self.count[k]
+        n = self.count[k].astype(np.int64)
         if not len(n):
             return none, none
         # One event for each item's place that has the gram.
         step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         entry = np.repeat(self.first[k], n) + step
-        item, diagonal = self.item[entry], np.repeat(at, n) - self.place[entry]
+        item, diagonal = self.item[entry].astype(np.int64), np.repeat(at, n) - self.place[entry]
         half = self.edits[item] + 1
         band = diagonal // half
         base, shift = np.int64(len(chars) + 2 * BLOCK), np.int64(BLOCK)
@@ -131,15 +135,18 @@ class Index:
 def aligned(item: str, text: str, low: int, width: int, budget: int) -> tuple[int, int, int] | None:
     """(edits, start, end) of the best alignment of the whole item to a part of text whose diagonals (text place minus item place) lie in [low, low + width)."""
     big = 1 << 24
-    a, t = points(item).astype(np.int64), points(text).astype(np.int64)
-    m = len(a)
+    a = points(item).astype(np.int64)
+    m, n = len(a), len(text)
+    # Only the part of the text on these diagonals is looked at.
+    first = min(max(low, 0), n)
+    t = points(text[first : max(low + m + width + 1, first)]).astype(np.int64)
     # t[low + k + i] for row i, column k; outside the text nothing matches.
     padded = np.full(m + width + 1, -1, np.int64)
     src = np.arange(low, low + m + width + 1)
-    inside = (src >= 0) & (src < len(t))
-    padded[inside] = t[src[inside]]
+    inside = (src >= first) & (src < first + len(t))
+    padded[inside] = t[src[inside] - first]
     k = np.arange(width, dtype=np.int64)
-    out_of = (low + k < 0) | (low + k > len(t))
+    out_of = (low + k < 0) | (low + k > n)
     row = np.where(out_of, big // 2 * big, 0) + k  # edits * big + first column
     slope = k * big
     for i in range(m):
@@ -149,7 +156,7 @@ def aligned(item: str, text: str, low: int, width: int, budget: int) -> tuple[in
         if i % 8 == 7 and (row.min() // big) > budget:
             return None
     ends = low + k + m
-    row = np.where((ends < 0) | (ends > len(t)), row + big // 2 * big, row)
+    row = np.where((ends < 0) | (ends > n), row + big // 2 * big, row)
     best = int(row.argmin())
     edits = int(row[best] // big)
     return (edits, low + int(row[best] % big), low + best + m) if edits <= budget else None
