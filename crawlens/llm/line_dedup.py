@@ -6,7 +6,7 @@ dropped from the host's pages. Counting is on the lines' MD5 (16 bytes), each on
 page, combined before the shuffle. A host's dropped lines are at most (lines per page) /
 ratio in number, whatever the host's size, so they travel as one array per host.
 
-Defined results: null or url without host: host '' (a site like any other); null html:
+Defined results: pages are read whole, however long; null or url without host: host '' (a site like any other); null html:
 no lines; sites with fewer than `min_pages` pages aren't judged; repeated rows count as
 pages; blank lines are neither counted nor kept; other columns are ignored.
 """
@@ -18,12 +18,13 @@ from pyspark.sql import functions as F
 
 from crawlens.llm.urls import host_of
 
-#: Parts that a host's pages are dealt to when they meet its dropped lines.
-PARTS = 64
+#: A host of more pages than this, and than one in SHARE of all, is dealt in parts of so many; at most SHARE hosts are.
+PART_ROWS, SHARE = 1000, 100_000
 
-HIDDEN = r"(?is)<(?:script[^>]*>.*?</script\s*>|style[^>]*>.*?</style\s*>|noscript[^>]*>.*?</noscript\s*>|!--.*?-->)"
-BLOCK = r"(?i)</?(?:html|head|title|body|p|div|section|article|main|header|footer|nav|aside|ul|ol|li|table|tr|h1|h2|h3|h4|h5|h6|br)(?:[\s/][^>]*)?>"
-TAG = r"<[^>]*>"
+#: What isn't closed is hidden to the end; no tag holds a <, so that a page of unclosed tags is read once.
+HIDDEN = r"(?is)<(?:script[^<>]*>.*?(?:</script\s*>|\z)|style[^<>]*>.*?(?:</style\s*>|\z)|noscript[^<>]*>.*?(?:</noscript\s*>|\z)|!--.*?(?:-->|\z))"
+BLOCK = r"(?i)</?(?:html|head|title|body|p|div|section|article|main|header|footer|nav|aside|ul|ol|li|table|tr|h1|h2|h3|h4|h5|h6|br)(?:[\s/][^<>]*)?>"
+TAG = r"<[^<>]*>"
 #: White space that isn't one blank already: most isn't touched.
 SPACE = r"[ \t\r\f]{2,}|[\t\r\f]"
 
@@ -50,9 +51,12 @@ def dropped_lines(lines: DataFrame, ratio: float, min_pages: int) -> DataFrame:
 def cleaned(pages: DataFrame, ratio: float = 0.3, min_pages: int = 5, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """id, host, n_lines, n_dropped, text: the kept lines, joined by line feeds."""
     lines = pages.select(F.col(id_col), host_of(url_col).alias("host"), lines_of(html_col).alias("lines"))
-    # One host may hold a third of the pages: its pages are dealt to PARTS keys, its one array is copied to each.
-    dropped = dropped_lines(lines, ratio, min_pages).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
-    known = lines.withColumn("part", F.pmod(F.xxhash64(id_col), F.lit(PARTS)).cast("int")).join(dropped, ["host", "part"], "left")
+    # One host may hold a third of the pages: its pages are dealt in parts, its one array is copied to each.
+    most = max(PART_ROWS, pages.count() // SHARE)
+    hot = pages.groupBy(host_of(url_col).alias("host")).agg(F.ceil(F.count(F.lit(1)) / most).cast("int").alias("parts")).where("parts > 1")
+    parts = F.coalesce("parts", F.lit(1))
+    dropped = dropped_lines(lines, ratio, min_pages).join(F.broadcast(hot), "host", "left").select("host", "dropped", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+    known = lines.join(F.broadcast(hot), "host", "left").withColumn("part", F.pmod(F.xxhash64(id_col), parts).cast("int")).join(dropped, ["host", "part"], "left")
     kept = F.when(F.col("dropped").isNull(), F.col("lines")).otherwise(F.filter("lines", lambda x: ~F.array_contains(F.col("dropped"), key(x))))
     out = known.select(id_col, "host", F.size("lines").cast("long").alias("n_lines"), kept.alias("kept"))
     return out.select(id_col, "host", "n_lines", (F.col("n_lines") - F.size("kept")).alias("n_dropped"), F.array_join("kept", "\n").alias("text"))
