@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from crawlens.llm.common import batches_of
+from crawlens.llm.common import batches_of, free
 
 #: Parts of at most so many characters are encoded directly.
 LEAF = 1 << 14
@@ -123,35 +123,45 @@ def unpack(data: bytes) -> list[int]:
 
 
 def encoded(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text", out_col: str = "token_ids", leaf: int = LEAF) -> DataFrame:
-    """docs with the packed ids of text_col in out_col. Ranks: a fixed file, sent to the executors once."""
-    return _mapped(docs, ranks_path, pattern, text_col, out_col, lambda c, x: pack(c.encode(x, leaf)) if x else b"")
+    """docs, all columns, with the packed ids of text_col in a last one: out_col, with underscores after it where docs has that name. Ranks: a fixed file, sent to the executors once."""
+    return _mapped(docs, ranks_path, pattern, text_col, [out_col], lambda c, x: (pack(c.encode(x, leaf)) if x else b"",))
 
 
 def decoded(tokens: DataFrame, ranks_path: str, pattern: str, ids_col: str = "token_ids", out_col: str = "decoded") -> DataFrame:
-    """tokens with the bytes that the packed ids stand for in out_col (null ids: no bytes)."""
-    return _mapped(tokens, ranks_path, pattern, ids_col, out_col, lambda c, x: c.decode(unpack(x)) if x else b"")
+    """tokens, all columns, with the bytes that the packed ids stand for (null ids: no bytes) in a last one, named as by `encoded`."""
+    return _mapped(tokens, ranks_path, pattern, ids_col, [out_col], lambda c, x: (c.decode(unpack(x)) if x else b"",))
 
 
-def _mapped(df: DataFrame, ranks_path: str, pattern: str, col: str, out_col: str, one) -> DataFrame:
+def both_ways(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text", ids_col: str = "token_ids", back_col: str = "decoded") -> DataFrame:
+    """docs, all columns, with the packed ids and what they decode to, by one pass of one Python worker for each task."""
+
+    def one(c: Codec, x: str | None) -> tuple[bytes, bytes]:
+        ids = c.encode(x, LEAF) if x else []
+        return pack(ids), c.decode(ids)
+
+    return _mapped(docs, ranks_path, pattern, text_col, [ids_col, back_col], one)
+
+
+def _mapped(df: DataFrame, ranks_path: str, pattern: str, col: str, out_cols: list[str], one) -> DataFrame:
     with open(ranks_path, "rb") as f:
         ranks = df.sparkSession.sparkContext.broadcast(f.read())
-    kept = [c for c in df.columns if c != out_col]
-    schema = T.StructType([df.schema[c] for c in kept] + [T.StructField(out_col, T.BinaryType())])
+    kept = df.columns
+    names = [free(c, kept) for c in out_cols]
+    schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in df.schema] + [T.StructField(c, T.BinaryType()) for c in names])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(ranks.value, pattern)
         for big in batches:
             for batch in batches_of(big):
-                made = pa.array([one(c, x) for x in batch.column(col).to_pylist()], pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column(k) for k in kept] + [made], names=[*kept, out_col])
+                made = [one(c, x) for x in batch.column(col).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array([m[k] for m in made], pa.binary()) for k in range(len(names)))], names=[*kept, *names])
 
-    return df.select(*{*kept, col} if col not in kept else kept).mapInArrow(run, schema)
+    return df.mapInArrow(run, schema)
 
 
 def report(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     """The contract's rows: doc_id, n_tokens, ids_sha256, decoded_sha256."""
-    ids = encoded(docs.select("doc_id", "text"), ranks_path, pattern).select("doc_id", "token_ids")
-    return decoded(ids, ranks_path, pattern).select(
+    return both_ways(docs.select("doc_id", "text"), ranks_path, pattern).select(
         "doc_id",
         F.expr("cast(octet_length(token_ids) div 4 as bigint)").alias("n_tokens"),
         F.sha2("token_ids", 256).alias("ids_sha256"),

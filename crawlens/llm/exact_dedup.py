@@ -18,21 +18,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from crawlens.llm.common import fresh_dir, located, staged, text_of
+from crawlens.llm.common import fresh_dir, located, removed, settings, staged, text_of
 
 #: State on disk, in bounded memory, logged as changes: a lost executor's state is restored from the shared folder.
 STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
-    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "128",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "64",
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",  # else 4 MB are set aside for each partition's manifest
     "spark.sql.streaming.noDataMicroBatches.enabled": "false",
 }
 
 
-#: Parts that the texts of one digest are dealt to before their least and greatest are combined.
-PARTS = 16
+#: A digest of more rows than this, and than one in SHARE of all, is dealt in parts of so many; at most SHARE digests are.
+PART_ROWS, SHARE = 1000, 100_000
 
 
 def fold(keys: DataFrame, checkpoint: str) -> DataFrame:
@@ -43,22 +43,16 @@ def fold(keys: DataFrame, checkpoint: str) -> DataFrame:
     """
     spark = keys.sparkSession
     versions = f"{checkpoint}/versions"
-    before = {k: spark.conf.get(k, None) for k in STATE}
-    for k, v in STATE.items():
-        spark.conf.set(k, v)
 
     def write(batch: DataFrame, batch_id: int) -> None:
         # One folder a batch, overwritten if the batch is repeated.
         batch.write.mode("overwrite").parquet(f"{versions}/batch={batch_id}")
 
-    try:
+    with settings(spark, **STATE):
         stream = spark.readStream.schema(keys.schema).option("maxBytesPerTrigger", str(64 << 30)).parquet(keys.inputFiles()[0].rsplit("/", 1)[0])
         state = stream.groupBy("digest").agg(F.max("place").alias("keep"), F.count(F.lit(1)).alias("n"))
         query = state.writeStream.outputMode("update").trigger(availableNow=True).option("checkpointLocation", f"{checkpoint}/state").foreachBatch(write).start()
         query.awaitTermination()
-    finally:
-        for k, v in before.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     # Counts only grow and the kept place only rises, so the last version is the greatest.
     return spark.read.option("basePath", versions).parquet(versions).groupBy("digest").agg(F.max("keep").alias("keep"), F.max("n").alias("n"))
 
@@ -78,16 +72,23 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dig
     if not keys.inputFiles() or keys.isEmpty():
         return keys.select("place", "sha256", F.col("place").alias("keep"), F.lit(1).cast("long").alias("n"))
     # Written, so that the joins below read it behind an exchange of their own, which adaptive execution can split.
-    state = staged(fold(keys.select("place", "digest"), fresh_dir(spark, "dedup-state")), "dedup-classes")
+    checkpoint = fresh_dir(spark, "dedup-state")
+    state = staged(fold(keys.select("place", "digest"), checkpoint), "dedup-classes")
+    removed(spark, checkpoint)
 
     # Hits: the texts themselves, read again; equal texts have an equal least and greatest.
-    # A third of all rows may share a digest, so its texts meet the hit in PARTS parts, each combined by itself.
-    part = F.pmod(F.xxhash64("place"), F.lit(PARTS)).cast("int")
-    hits = state.where("n > 1").select("digest", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("part"))
-    met = texts.select("digest", part.alias("part"), "text").join(hits.hint("shuffle_hash"), ["digest", "part"], "left_semi")
+    # A third of all rows may share a digest, so its texts meet the hit in parts, as many as its count asks for, each combined by itself.
+    most = max(PART_ROWS, keys.count() // SHARE)
+    parts = F.ceil(F.col("n") / most).cast("int")
+    hits = state.where("n > 1").select("digest", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+    # Digests of more than `most` rows are at most SHARE in number.
+    hot = state.where(F.col("n") > most).select("digest", parts.alias("parts"))
+    dealt = texts.join(F.broadcast(hot), "digest", "left") if not hot.isEmpty() else texts.withColumn("parts", F.lit(1))
+    part = F.pmod(F.xxhash64("place"), F.coalesce("parts", F.lit(1))).cast("int")
+    met = dealt.select("digest", part.alias("part"), "text").join(hits.hint("shuffle_hash"), ["digest", "part"], "left_semi")
     some = met.groupBy("digest", "part").agg(F.min("text").alias("lo"), F.max("text").alias("hi"))
     clash = some.groupBy("digest").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo != hi").select("digest")
-    clash = clash.checkpoint()
+    clash = staged(clash, "dedup-clash")
     out = keys.join(state, "digest").select("place", "digest", "sha256", "keep", "n")
     if clash.isEmpty():
         return out.drop("digest")

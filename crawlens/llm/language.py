@@ -39,6 +39,8 @@ SAMPLE = 400
 LONG = 20_000
 #: Words of one sequence; a longer text is several, fitted apart and labelled as one.
 STEPS = 64
+#: Sequences run side by side.
+BLOCK = 1024
 BITS = 17
 SIZES = (2, 3, 4)
 LEXICON = 4000
@@ -46,7 +48,7 @@ ROUNDS = 15
 #: Distinct words whose potentials a task holds at most.
 LIMIT = 400_000
 UND = "und"
-CERTAINTY = "__crawlens_certainty"
+LANGUAGE, SCORE, CERTAINTY = "__crawlens_language", "__crawlens_score", "__crawlens_certainty"
 #: ASCII lower-cased; all other ASCII but letters and ' parts words.
 PARTS = bytes(c if c >= 128 or chr(c).isalpha() else 32 for c in range(256))
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
@@ -242,11 +244,11 @@ class Tagger:
         """(text, mask, posteriors) of sequences of texts laid end to end, forward-backward over each whole text."""
         first, size, text = sequences(lengths)
         step = self.model.step
-        parts = [slice(at, at + 4096) for at in range(0, len(first), 4096)]
+        parts = [slice(at, at + BLOCK) for at in range(0, len(first), BLOCK)]
         moved = np.ones((len(first), len(step), len(step)), np.float32)
         several = np.repeat(-(-lengths // STEPS) > 1, -(-lengths // STEPS))
-        for at in range(0, len(rows := np.nonzero(several)[0]), 4096):
-            some = rows[at : at + 4096]
+        for at in range(0, len(rows := np.nonzero(several)[0]), BLOCK):
+            some = rows[at : at + BLOCK]
             grid, mask = laid_out(ids, first[some], size[some])
             moved[some] = transfer(self.table[grid], mask, step)
         enter, leave = carried(moved, text, step)
@@ -314,11 +316,11 @@ def model_of(docs: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text
 
 
 def _mapped(df: DataFrame, model: Model | None, text_col: str) -> DataFrame:
-    """df with lang_pred, score and CERTAINTY (names of df that clash are replaced)."""
+    """df, all columns as they are, with LANGUAGE, SCORE and CERTAINTY."""
     sent = df.sparkSession.sparkContext.broadcast(model)
-    kept = [c for c in df.columns if c not in ("lang_pred", "score", CERTAINTY)]
+    kept = df.columns
     fields = [T.StructField(df.schema[c].name, df.schema[c].dataType, True) for c in kept]
-    schema = T.StructType([*fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField(CERTAINTY, T.DoubleType())])
+    schema = T.StructType([*fields, T.StructField(LANGUAGE, T.StringType()), T.StructField(SCORE, T.DoubleType()), T.StructField(CERTAINTY, T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tagger = Tagger(sent.value) if sent.value is not None else None
@@ -327,16 +329,17 @@ def _mapped(df: DataFrame, model: Model | None, text_col: str) -> DataFrame:
                 texts = batch.column(text_col).to_pylist()
                 lang, score, sure = tagger.predict(texts) if tagger else ([UND] * len(texts), [0.0] * len(texts), [0.0] * len(texts))
                 made = [pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(sure, pa.float64())]
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *made], names=[*kept, "lang_pred", "score", CERTAINTY])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *made], names=[*kept, LANGUAGE, SCORE, CERTAINTY])
 
-    return df.select(*kept).mapInArrow(run, schema)
+    return df.mapInArrow(run, schema)
 
 
 def tagged(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
+    """docs, all columns, with LANGUAGE (UND for texts without a letter), SCORE and CERTAINTY: names of their own, so that no column is lost."""
     return _mapped(docs, model, text_col)
 
 
 def report(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """The contract's rows: doc_id, held_out, lang_pred, score."""
     model = model_of(docs, sample)
-    return _mapped(docs.select("doc_id", "text"), model, "text").select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+    return _mapped(docs.select("doc_id", "text"), model, "text").select("doc_id", held_out().alias("held_out"), F.col(LANGUAGE).alias("lang_pred"), F.col(SCORE).alias("score"))
