@@ -13,16 +13,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from crawlens.llm import bpe, decontaminate, exact_dedup, language, simhash
-from crawlens.llm.common import staged, table
+from crawlens.llm.common import free, released, staged, table
 
 #: Mean of the words' greatest posteriors below which a document counts as of no known language.
 LEAST_SCORE = 0.4
+IDS, BACK = "__crawlens_ids", "__crawlens_decoded"
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects texts without a letter and those whose words are named with a mean certainty under LEAST_SCORE, however many languages they are of."""
     named = language.tagged(docs, language.model_of(docs))
-    return named.where((F.col("lang_pred") != language.UND) & (F.col(language.CERTAINTY) >= LEAST_SCORE)).select(*docs.columns)
+    return named.where((F.col(language.LANGUAGE) != language.UND) & (F.col(language.CERTAINTY) >= LEAST_SCORE)).select(*docs.columns)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,12 +42,15 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Adds token_ids (packed little-endian unsigned 32-bit), n_tokens and whether decoding gives the text back."""
+    """Adds token_ids (packed little-endian unsigned 32-bit), n_tokens and round_trip: whether decoding gives the text back.
+
+    Where documents has a column of that name, ours gets underscores after it.
+    """
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    ids = bpe.encoded(docs, ranks, public_tokenizers.PATTERN)
-    back = bpe.decoded(ids, ranks, public_tokenizers.PATTERN)
-    same = F.col("decoded") == F.coalesce("text", F.lit("")).cast("binary")
-    return back.select(*docs.columns, "token_ids", F.expr("cast(octet_length(token_ids) div 4 as bigint)").alias("n_tokens"), same.alias("round_trip"))
+    back = bpe.both_ways(docs, ranks, public_tokenizers.PATTERN, ids_col=IDS, back_col=BACK)
+    same = F.col(BACK) == F.coalesce("text", F.lit("")).cast("binary")
+    made = {"token_ids": F.col(IDS), "n_tokens": F.expr(f"cast(octet_length({IDS}) div 4 as bigint)"), "round_trip": same}
+    return back.select(*docs.columns, *[c.alias(free(name, docs.columns)) for name, c in made.items()])
 
 
 STAGES = [
@@ -63,6 +67,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = staged(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    for k, (name, stage) in enumerate(STAGES[:-1]):
+        before, docs = docs, staged(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        if k:
+            released(spark, before)
     return STAGES[-1][1](spark, docs, sf_dir)
