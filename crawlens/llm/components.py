@@ -21,12 +21,18 @@ def _sum(links: DataFrame) -> tuple:
     return tuple(row)
 
 
-def stars(links: DataFrame) -> DataFrame:
-    """links: (u, v) of type long, any order, repeats and loops allowed. Returns (u, v), staged: v is the least node of u's component, u != v."""
+def stars(links: DataFrame, rounds: int | None = None) -> DataFrame:
+    """links: (u, v) of type long, any order, repeats and loops allowed. Returns (u, v), staged: v is the least node of u's component, u != v.
+
+    With a number of rounds, it stops after so many: a u may then have several v, each of its component.
+    """
     edges = staged(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u != v").distinct(), "edges")
     seen = None
-    while (now := _sum(edges)) != seen and now[0]:
-        seen = now
+    done = 0
+    while (done < rounds if rounds else (now := _sum(edges)) != seen and now[0]):
+        done += 1
+        if not rounds:
+            seen = now
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()

@@ -432,7 +432,8 @@ def linked_groups(wanted: DataFrame, made: Callable[[DataFrame], DataFrame], rat
     stars_ = big.join(first, ["root", "band"]).where("o = 1 or tile > 0").select(F.col("rows").alias("left"), F.col("homes").alias("lh"), "right", "rh")
     links = staged(links.unionByName(joined_between(stars_, spec)), "links")
 
-    place = stars(links).select(F.col("u").alias("node"), F.col("v").alias("part"))
+    # Parts of components do here: what isn't known to be joined is compared.
+    place = stars(links, 2).groupBy(F.col("u").alias("node")).agg(F.min("v").alias("part"))
     each = big.select("root", "band", F.explode("rows").alias("row")).withColumn("node", F.col("row.node"))
     parted = staged(each.join(place, "node", "left").withColumn("part", F.coalesce("part", "node")).select("root", "band", "part", "row"), "parted")
     main = parted.groupBy("root", "part").agg(F.count(F.lit(1)).alias("c")).groupBy("root").agg(F.max(F.struct("c", "part")).alias("m")).select("root", F.col("m.part").alias("main"))
