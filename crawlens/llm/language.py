@@ -39,6 +39,8 @@ SAMPLE = 400
 LONG = 20_000
 #: Words of one sequence; a longer text is several, fitted apart and labelled as one.
 STEPS = 64
+#: Parts that a language's labelled rows are ranked in before its sample is taken.
+SPLIT = 256
 #: Sequences run side by side.
 BLOCK = 1024
 BITS = 17
@@ -300,7 +302,10 @@ def model_of(docs: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text
     rows = docs.where(~held_out(id_col) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
         F.greatest(F.length(text_col), F.lit(LONG)).alias("size"), F.xxhash64(id_col).alias("h"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")
     )
-    ranked = rows.select("size", "h", "lang").withColumn("turn", F.row_number().over(Window.partitionBy("lang").orderBy("size", "h"))).where(F.col("turn") <= sample)
+    # The first of each language's parts, then of those: no task sorts what all others have found of a language.
+    part = F.pmod(F.xxhash64("h"), F.lit(SPLIT))
+    first = rows.select("size", "h", "lang", part.alias("part")).withColumn("turn", F.row_number().over(Window.partitionBy("lang", "part").orderBy("size", "h"))).where(F.col("turn") <= sample)
+    ranked = first.withColumn("turn", F.row_number().over(Window.partitionBy("lang").orderBy("size", "h"))).where(F.col("turn") <= sample)
     last: dict[str, tuple[int, int, int]] = {}
     for r in ranked.orderBy("turn", "size", "h", "lang").limit(sample).collect():
         last[r.lang] = (r.turn, r.size, r.h)
