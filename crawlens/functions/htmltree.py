@@ -34,6 +34,8 @@ STOP = re.compile(r"[\"'>]")
 ATTRIBUTE = re.compile(r"([^\s=/\"'<>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 SPACE = re.compile(f"[{WHITE}]+")
 WORD = re.compile(f"[^{WHITE}]+")
+#: Times a page's text is read for counting words before the words' places are listed.
+READ = 4
 #: Where Python's white space isn't ours.
 ODD = re.compile("[\x1c-\x1f\x85\ufeff]")
 #: References whose number is longer than any character's.
@@ -162,8 +164,8 @@ class Page:
         self._close(1)
         self.text, self.seen = "".join(self._text), "".join(self._seen)
         self.root.end, self.root.seen_end = self._size, self._seen_size
-        # Of the words of the text and of the text as read: where they begin and end.
-        self._words = [words := _places(self.text), words if self.text == self.seen else _places(self.seen)]
+        self._words: list[tuple[array, array] | None] = [None, None]
+        self._read = 0
 
     def _said(self, text: str, shown: bool = True) -> None:
         self._text.append(text)
@@ -221,9 +223,19 @@ class Page:
             node.seen_start = node.seen_end = self._seen_size
 
     def n_words(self, node: Node, seen: bool = False) -> int:
-        """Words of an element's text, or of its text as read."""
-        begin, end = self._words[seen]
+        """Words of an element's text, or of its text as read.
+
+        Counted where they stand, until elements in elements have made that READ times the
+        page; from then on by where all words begin and end.
+        """
+        text = self.seen if seen else self.text
         a, b = (node.seen_start, node.seen_end) if seen else (node.start, node.end)
+        self._read += b - a
+        if self._read <= READ * len(text):
+            return len(collapse(text[a:b]).split(" ")) if text[a:b].strip(WHITE) else 0
+        if self._words[seen] is None:
+            self._words[seen] = _places(text)
+        begin, end = self._words[seen]
         return max(0, bisect_left(begin, b) - bisect_right(end, a)) if b > a else 0
 
     def text_of(self, node: Node) -> str:
@@ -299,12 +311,14 @@ def facts(html: str | None) -> dict:
         if "id" in n.attrs:
             ids.setdefault(n.attrs["id"], n)
 
-    # The next element beside each that has text.
+    # The next element with text beside each heading.
+    beside = {id(n.parent) for n in page.order if n.tag in HEADINGS}
     later: dict[int, Node] = {}
     for n in reversed(page.order):
-        n.after = later.get(id(n.parent))
-        if page.n_words(n):
-            later[id(n.parent)] = n
+        if id(n.parent) in beside:
+            n.after = later.get(id(n.parent))
+            if page.n_words(n):
+                later[id(n.parent)] = n
     headings = [
         {"level": int(n.tag[1]), "text": page.text_of(n), "next_tag": n.after.tag if n.after else None, "next_words": page.n_words(n.after) if n.after else None}
         for n in page.order
