@@ -373,6 +373,18 @@ WALK = rf"""WITH RECURSIVE r AS ({duck(inputs.REDIRECTS)}),
                   FROM walk w LEFT JOIN r ON r.url = w.here WHERE w.outcome IS NULL) w
         )"""
 
+#: A page's report in lines, its types and refused crawlers cut short.
+LINES = (
+    "sm2 AS (SELECT page_id, string_agg('  - [' || severity || '] ' || code || ' +' || printf('%.1f', impact), chr(10) ORDER BY rank) FILTER (rank <= 5) AS five, string_agg('  - [' || severity || '] ' || code || ' +' || printf('%.1f', impact), chr(10) ORDER BY rank) FILTER (rank <= 6) AS six FROM fx GROUP BY 1),\n"
+    "sm3 AS (SELECT aw.*, five, six, string_split(coalesce(names, ''), ',') AS refused FROM aw LEFT JOIN sm2 USING (page_id)),\n"
+    "sm4 AS (SELECT *, concat_ws(chr(10), 'page ' || url, 'score ' || total || '/100 (' || grade || ')', 'block ' || CASE WHEN block = 'OK' THEN 'OK' ELSE block || ' (' || reason || ')' END,\n"
+    "    'answers ' || answer || '/100 (' || CASE WHEN answer >= 85 THEN 'A' WHEN answer >= 70 THEN 'B' WHEN answer >= 55 THEN 'C' WHEN answer >= 40 THEN 'D' ELSE 'F' END || ')',\n    "
+    + ", ".join(f"printf('  %-22s %s %d/{m}', '{n}', repeat('#', floor(s{i} / {m}.0::DOUBLE * 20 + 0.5)::INT) || repeat('-', 20 - floor(s{i} / {m}.0::DOUBLE * 20 + 0.5)::INT), s{i})" for i, (n, m) in enumerate(DIMENSIONS, 1))
+    + ",\n    'text ' || floor(ratio * 100 + 0.5)::INT || '% of the markup',\n"
+    "    CASE WHEN types <> [] THEN 'types ' || array_to_string(types[1:8], ', ') || CASE WHEN len(types) > 8 THEN ', …' ELSE '' END END,\n"
+    "    CASE WHEN shut > 0 THEN 'refused ' || array_to_string(refused[1:6], ', ') || CASE WHEN shut > 6 THEN ', …' ELSE '' END END) AS head FROM sm3)"
+)
+
 GRADE = "CASE WHEN total >= 85 THEN 'A' WHEN total >= 70 THEN 'B' WHEN total >= 55 THEN 'C' WHEN total >= 40 THEN 'D' WHEN total IS NOT NULL THEN 'F' END"
 
 ORACLES = {
@@ -403,6 +415,20 @@ ORACLES = {
         'site level access ' || access || '/22 llms ' || llms || '/8', CASE WHEN answer_mean IS NOT NULL THEN printf('answers mean %.1f/100', answer_mean) END, 'inaccessible ' || inaccessible || ' of ' || pages,
         'hard ' || n_hard_blocked || ' soft ' || n_soft_blocked || ' robots ' || n_robots_disallowed || ' noindex ' || n_noindexed,
         CASE WHEN worst_url IS NOT NULL THEN 'worst ' || worst_url || ' ' || worst_total || '/100' END) AS summary FROM site""",
+    "page_summary": f"{_with(*PAGE, FINDINGS, LINES)} SELECT page_id, head || chr(10) || coalesce('fixes' || chr(10) || five, 'fixes none') AS summary FROM sm4",
+    "console_report": f"""{_with(*PAGE, FINDINGS, LINES)} SELECT page_id, head || chr(10) || coalesce('fixes' || chr(10) || six, 'fixes none')
+        || CASE WHEN block <> 'OK' OR shut IS NULL THEN chr(10) || 'notes' ELSE '' END || CASE WHEN block <> 'OK' THEN chr(10) || '  - The score describes what was served: ' || reason ELSE '' END || CASE WHEN shut IS NULL THEN chr(10) || '  - No robots.txt was found.' ELSE '' END AS report FROM sm4""",
+    "tool_scan_url": f"""{_with(*PAGE, FINDINGS, LINES)} SELECT page_id, head || chr(10) || coalesce('fixes' || chr(10) || five, 'fixes none') AS text, '{{"url":"' || url || '","total":' || total || ',"grade":"' || grade || '"}}' AS structured, false AS is_error FROM sm4""",
+    # Each decision of a day depends on those before it: a walk over the day, the counters of its ips in a map.
+    "quota_weighted": f"""WITH RECURSIVE q AS ({duck(inputs.REQUESTS)}), o AS (SELECT event_id, ip, greatest(weight, 1) AS w, strftime(ts, '%Y-%m-%d') AS day, row_number() OVER (PARTITION BY strftime(ts, '%Y-%m-%d') ORDER BY ts, event_id) AS k FROM q),
+        walk AS (
+            SELECT event_id, day, k, NULL::VARCHAR AS blocked_by, w AS total, MAP {{ip: w}} AS counts FROM o WHERE k = 1
+            UNION ALL
+            SELECT event_id, day, k, why, CASE WHEN why IS NULL THEN total + w ELSE total END, CASE WHEN why IS NULL THEN map_concat(counts, MAP {{ip: had + w}}) ELSE counts END
+            FROM (SELECT *, CASE WHEN total + w > 1500 THEN 'global' WHEN had + w > 20 THEN 'ip_daily' END AS why
+                  FROM (SELECT o.*, x.total, x.counts, coalesce(x.counts[o.ip], 0) AS had FROM walk x JOIN o ON o.day = x.day AND o.k = x.k + 1))
+        )
+        SELECT event_id, day, blocked_by IS NULL AS allowed, blocked_by FROM walk""",
     "quota_resumed": f"""WITH q AS ({duck(inputs.REQUESTS)}), a AS (SELECT *, strftime(ts, '%Y-%m-%d') AS day, CASE WHEN ip % 30 = 0 THEN 2 WHEN ip % 3 = 0 THEN 1 ELSE 0 END AS had FROM q), b AS (SELECT *, had + row_number() OVER (PARTITION BY ip, day ORDER BY ts, event_id) AS r FROM a),
         c AS (SELECT *, 150 + coalesce(sum(CASE WHEN r <= 2 THEN 1 ELSE 0 END) OVER (PARTITION BY day ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used FROM b)
         SELECT event_id, day, NOT (used >= 200 OR r > 2) AS allowed, CASE WHEN used >= 200 THEN 'global' WHEN r > 2 THEN 'ip_daily' END AS blocked_by FROM c""",
