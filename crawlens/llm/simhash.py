@@ -362,7 +362,8 @@ def joined_between(work: DataFrame, spec: dict) -> DataFrame:
                 if len(u):
                     yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
 
-    return staged(work.mapInArrow(between, "u bigint, v bigint"), "links", 1)
+    # Tiles of fingerprints are small; of sets they may take megabytes.
+    return staged(work.mapInArrow(between, "u bigint, v bigint"), "links", BATCH if "radius" in spec else 1)
 
 
 def linked(classes: DataFrame, key: Column, around: list[int], spec: dict, load: Column) -> tuple[DataFrame, DataFrame]:
