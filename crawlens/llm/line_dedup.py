@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from crawlens.llm.urls import host_of
 
 #: A host of more pages than this, and than one in SHARE of all, is dealt in parts of so many; at most SHARE hosts are.
-PART_ROWS, SHARE = 1000, 100_000
+PART_ROWS, SHARE = 100, 100_000
 
 #: What isn't closed is hidden to the end; no tag holds a <, so that a page of unclosed tags is read once.
 HIDDEN = r"(?is)<(?:script[^<>]*>.*?(?:</script\s*>|\z)|style[^<>]*>.*?(?:</style\s*>|\z)|noscript[^<>]*>.*?(?:</noscript\s*>|\z)|!--.*?(?:-->|\z))"
