@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from crawlens.llm.common import batches_of
+from crawlens.llm.common import batches_of, trimmed
 
 #: Labelled documents the model is fitted on at most.
 SAMPLE = 400
@@ -336,7 +336,7 @@ def _mapped(df: DataFrame, model: Model | None, text_col: str) -> DataFrame:
                 made = [pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(sure, pa.float64())]
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *made], names=[*kept, LANGUAGE, SCORE, CERTAINTY])
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(trimmed(run), schema)
 
 
 def tagged(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:

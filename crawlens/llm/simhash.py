@@ -44,7 +44,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from crawlens.llm.common import batches_of, located, released, staged
+from crawlens.llm.common import batches_of, located, released, staged, trimmed
 from crawlens.llm.components import stars
 
 SEED = 42
@@ -537,7 +537,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, similarity: float = SIMILARITY,
                 arrays = [batch.column(0), batch.column(2), batch.column(3), digests, pa.array([len(h) for h in made], pa.int64()), firsts, pa.array(hot, pa.list_(pa.bool_())), bits]
                 yield pa.RecordBatch.from_arrays(arrays, names=["id", "__crawlens_file", "__crawlens_row", "digest", "n", "prefix", "hot", "bits"])
 
-    prints = staged(rows.mapInArrow(sketch, f"id {kind}, __crawlens_file string, __crawlens_row bigint, digest binary, n bigint, prefix array<bigint>, hot array<boolean>, bits array<bigint>"), "sketches")
+    prints = staged(rows.mapInArrow(trimmed(sketch), f"id {kind}, __crawlens_file string, __crawlens_row bigint, digest binary, n bigint, prefix array<bigint>, hot array<boolean>, bits array<bigint>"), "sketches")
     place = F.struct("id", "__crawlens_file", "__crawlens_row", "bits")
     classes = numbered(prints.groupBy("digest", "n").agg(F.min(place).alias("place"), F.min("id").alias("first")), "sketch-classes")
 
@@ -558,7 +558,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, similarity: float = SIMILARITY,
 
     def with_sets(dealt: DataFrame) -> DataFrame:
         full = rows.select("text", "__crawlens_file", "__crawlens_row").join(dealt.hint("shuffle_hash"), ["__crawlens_file", "__crawlens_row"])
-        return full.select("text", "node", "n", "root", "big", "band", "tile").mapInArrow(sets, "set array<bigint>, node bigint, n bigint, root bigint, big boolean, band bigint, tile int")
+        return full.select("text", "node", "n", "root", "big", "band", "tile").mapInArrow(trimmed(sets), "set array<bigint>, node bigint, n bigint, root bigint, big boolean, band bigint, tile int")
 
     # The sets of a group are compared exactly.
     links = linked_groups(wanted, with_sets, similarity, SET_TILE, SET_SHINGLES)
@@ -580,7 +580,7 @@ def frequent_shingles(rows: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
                 made = [np.unique(shingle_hashes(t, k)).view(np.int64) for t in batch.column(0).to_pylist()]
                 yield pa.RecordBatch.from_arrays([pa.array(made, pa.list_(pa.int64()))], names=["set"])
 
-    counted = some.mapInArrow(run, "set array<bigint>").select(F.explode("set").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    counted = some.mapInArrow(trimmed(run), "set array<bigint>").select(F.explode("set").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     got = counted.orderBy(F.desc("n"), "h").limit(FREQUENT).collect()  # a fixed number, whatever the data
     known, count = np.array([r.h for r in got], np.int64).view(np.uint64), np.array([r.n for r in got], np.int64)
     order = np.argsort(known)

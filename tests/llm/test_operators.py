@@ -1,6 +1,7 @@
 """The dealt operators against brute force, on small tables."""
 
 import hashlib
+import os
 import random
 import struct
 import zlib
@@ -12,7 +13,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from crawlens.llm import bpe, components, decontaminate, exact_dedup, language, line_dedup, sharding, simhash, substring_dedup, token_counts, url_filter
+from crawlens.llm import bpe, common, components, decontaminate, exact_dedup, language, line_dedup, sharding, simhash, substring_dedup, token_counts, url_filter
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -22,6 +23,25 @@ def sha(x):
     return hashlib.sha256(x).hexdigest()
 
 
+def resident():
+    with open("/proc/self/statm") as f:
+        return int(f.read().split()[1]) * os.sysconf("SC_PAGESIZE") >> 20
+
+
+def test_trimmed_gives_memory_back():
+    held = []
+
+    def run(batches):
+        for batch in batches:
+            parts = [b"x" * 3000 + bytes([i % 256]) for i in range(60_000)]
+            held.append(parts[-1])  # the last of the heap stays
+            yield batch
+
+    before = resident()
+    assert list(common.trimmed(run)([1])) == [1]
+    assert resident() - before < 90
+
+
 # ---- 1: exact dedup -------------------------------------------------------------------------
 
 
@@ -40,6 +60,21 @@ def test_exact_dedup(docs, rows, weak, monkeypatch):
     assert sum(r.place == r.keep for r in got) == len(groups)
 
 
+def test_exact_dedup_starts_few_processes(spark, docs, tmp_path):
+    # A process that an executor starts shares its memory for a moment; the state asked for about 20 for each partition.
+    flight = spark._jvm.jdk.jfr.Recording()
+    flight.enable("jdk.ProcessStart")
+    flight.start()
+    exact_dedup.classes(docs).collect()
+    flight.stop()
+    dump = spark._jvm.java.io.File(str(tmp_path / "processes.jfr")).toPath()
+    flight.dump(dump)
+    flight.close()
+    commands = [e.getString("command") for e in spark._jvm.jdk.jfr.consumer.RecordingFile.readAllEvents(dump)]
+    assert not [c for c in commands if c.startswith("readlink")]
+    assert len([c for c in commands if ".changelog." in c]) <= 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def test_exact_dedup_keeps_columns(docs, rows, empty):
     kept = exact_dedup.deduplicated(docs)
     assert kept.columns == docs.columns and kept.count() == len({r[1] or "" for r in rows})
