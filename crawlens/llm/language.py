@@ -39,8 +39,8 @@ SAMPLE = 400
 LONG = 20_000
 #: Words of one sequence; a longer text is several, fitted apart and labelled as one.
 STEPS = 64
-#: Parts that a language's labelled rows are ranked in before its sample is taken.
-SPLIT = 256
+#: Parts that a language's labelled rows are ranked in, round by round, until its sample is taken. Each number is a multiple of the next.
+SPLITS = (256, 16, 1)
 #: Sequences run side by side.
 BLOCK = 1024
 BITS = 17
@@ -297,15 +297,25 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+def rounds_of(rows: DataFrame, sample: int) -> list[DataFrame]:
+    """Of rows (size, h, lang), round by round, the first `sample` of each part of a language with their turn; last the first of each language.
+
+    A task ranks what one part of the next round keeps, so none sorts what all others have found of a language.
+    """
+    found = []
+    for parts in SPLITS:
+        ranked = rows.select("size", "h", "lang", F.pmod(F.xxhash64("h"), F.lit(parts)).alias("part"))
+        rows = ranked.withColumn("turn", F.row_number().over(Window.partitionBy("lang", "part").orderBy("size", "h"))).where(F.col("turn") <= sample)
+        found.append(rows)
+    return found
+
+
 def model_of(docs: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model | None:
     """Fit on the labelled rows that aren't held out, at most `sample`, dealt to the languages in turn, of least length beyond LONG and least hash."""
     rows = docs.where(~held_out(id_col) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
         F.greatest(F.length(text_col), F.lit(LONG)).alias("size"), F.xxhash64(id_col).alias("h"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")
     )
-    # The first of each language's parts, then of those: no task sorts what all others have found of a language.
-    part = F.pmod(F.xxhash64("h"), F.lit(SPLIT))
-    first = rows.select("size", "h", "lang", part.alias("part")).withColumn("turn", F.row_number().over(Window.partitionBy("lang", "part").orderBy("size", "h"))).where(F.col("turn") <= sample)
-    ranked = first.withColumn("turn", F.row_number().over(Window.partitionBy("lang").orderBy("size", "h"))).where(F.col("turn") <= sample)
+    ranked = rounds_of(rows, sample)[-1]
     last: dict[str, tuple[int, int, int]] = {}
     for r in ranked.orderBy("turn", "size", "h", "lang").limit(sample).collect():
         last[r.lang] = (r.turn, r.size, r.h)

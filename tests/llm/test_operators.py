@@ -685,6 +685,17 @@ def test_pipeline_keeps_texts_of_many_languages(spark):
     assert cp.language_id(spark, mixed, "").where("doc_id = 1000000").count() == 1
 
 
+def test_language_sample_is_ranked_in_rounds(spark):
+    # The last round's task got 256 parts of a language before, each of `sample` rows.
+    rows = spark.range(3000).select((F.col("id") % 3).cast("int").alias("size"), F.xxhash64("id").alias("h"), F.when(F.col("id") % 50 == 0, "rare").otherwise("much").alias("lang")).cache()
+    rounds = language.rounds_of(rows, 2)
+    assert max(r["count"] for r in rounds[-2].groupBy("lang").count().collect()) <= 16 * 2
+    want = {}
+    for r in sorted(rows.collect(), key=lambda r: (r.size, r.h)):
+        want.setdefault(r.lang, []).append((r.size, r.h))
+    assert sorted((r.lang, r.turn, r.size, r.h) for r in rounds[-1].collect()) == sorted((k, i + 1, *v[i]) for k, v in want.items() for i in range(2))
+
+
 def test_rare_language_is_in_the_sample(spark):
     rows = [(i, f"the cat sat on mat {i}", "en") for i in range(3000)] + [(3000 + i, f"zorp quux vleem brak nidd {i}", "rare") for i in range(6)] + [(None, "le chat noir", "fr")] * 30
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
