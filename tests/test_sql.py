@@ -28,7 +28,7 @@ def told(rows):
     return sorted(tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in rows)
 
 
-@pytest.mark.parametrize("name", ("console_report", "extracted_content", "heading_levels", "page_features", "page_summary"))
+@pytest.mark.parametrize("name", ("console_report", "extracted_content", "heading_levels", "page_features", "page_summary", "tool_scan_url"))
 def test_cut_references(spark, cut_titles, name):
     folder, con = cut_titles
     assert told(entry.queries()[name](spark, str(folder)).collect()) == told(con.execute(entry.oracle_sql()[name]).fetchall())
