@@ -2,6 +2,7 @@
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 
@@ -32,3 +33,14 @@ def told(rows):
 def test_cut_references(spark, cut_titles, name):
     folder, con = cut_titles
     assert told(entry.queries()[name](spark, str(folder)).collect()) == told(con.execute(entry.oracle_sql()[name]).fetchall())
+
+
+def test_discovery_parses_home_pages_only(spark, cut_titles, monkeypatch):
+    from crawlens.plans import queries
+
+    given = []
+    monkeypatch.setattr(queries, "parsed", lambda df: given.append(df.count()) or df.withColumn("facts", F.expr("named_struct('links', array(url))")))
+    monkeypatch.setattr(queries.site, "discovered", lambda sites, robots, sitemaps, homes: (homes, sites))
+    homes, _ = queries._discovery(spark, str(cut_titles[0]))
+    assert given == [3]
+    assert sorted(r.url for r in homes.collect()) == [f"https://{'abc'[i % 3]}.example.com/en/{i}" for i in (3, 4, 5)]
