@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from crawlens.constants import CHALLENGE_MARKERS, GATE_MARKERS, HARD_STATUSES, MARKER_CHARS
-from crawlens.functions.columns import lits
+from crawlens.functions.columns import let, lits
 
 
 def js_shell(facts: str = "facts") -> Column:
@@ -34,8 +34,8 @@ def head(html: Column) -> Column:
 
 def markers(html: Column) -> Column:
     """struct(challenge, gate), taken before the markup is parsed and dropped."""
-    h = head(html)
-    return F.struct(first_marker(h, CHALLENGE_MARKERS).alias("challenge"), first_marker(h, GATE_MARKERS).alias("gate"))
+    # Bound once: inside a filter the head would be made anew for each marker.
+    return let(head(html), lambda h: F.struct(first_marker(h, CHALLENGE_MARKERS).alias("challenge"), first_marker(h, GATE_MARKERS).alias("gate")))
 
 
 def verdict(status: str = "status", marks: str = "marks", facts: str = "facts") -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from crawlens.constants import ANSWER_TYPES, ARTICLE_TYPES, BOTS, LANDMARKS, ORG_TYPES, OTHER_CONTENT_TYPES, TIER_A, TIER_B, TLDR_CHARS
-from crawlens.functions.columns import grade, has_any, matching, trimmed, whole
+from crawlens.functions.columns import grade, has_any, let, matching, trimmed, whole
 from crawlens.operators.block import js_shell
 from crawlens.operators.robots import blocked, notable_blocked
 
@@ -249,11 +249,16 @@ def llms() -> Column:
 
 def answers() -> Column:
     """struct(score, grade, signals and findings) of the separate answer score."""
+    said = F.substring(F.col("facts.visible_text"), 1, TLDR_CHARS).rlike(r"(?i)\b(tl;?dr|in short|key takeaways?|summary|at a glance|quick answer)\b")
+    # Bound once: it reads the text, and is used four times.
+    return let(said, _answers)
+
+
+def _answers(summary: Column) -> Column:
     f = F.col("facts")
     questions = F.size(F.filter(f.headings, lambda h: F.contains(h.text, F.lit("?"))))
     paragraphs = F.size(F.filter(f.headings, lambda h: (h.next_tag == "p") & (h.next_words >= 15)))
     schema, steps = has_any(f.jsonld_types, ANSWER_TYPES), has_any(f.jsonld_types, ("HowTo",))
-    summary = F.substring(f.visible_text, 1, TLDR_CHARS).rlike(r"(?i)\b(tl;?dr|in short|key takeaways?|summary|at a glance|quick answer)\b")
     score = (
         points((questions >= 3, 30), (questions == 2, 22), (questions == 1, 12))
         + points((schema, 20))

@@ -203,3 +203,11 @@ def test_roll_up(spark):
     assert r.site_source == "https://e.com/1" and r.inaccessible == 1
     assert roll(spark, [(None,) * 7]).unscorable == "nothing could be read"
     assert roll(spark, [ok(62), ok(70), hard], cap=1).pages == 1 and roll(spark, [ok(62), ok(70), hard], cap=0.2).pages == 1
+
+
+def test_markers_make_the_head_once(spark):
+    from crawlens.operators import block
+
+    rows = spark.createDataFrame([("<p>Just a MOMENT, members only</p>",), ("x",), (None,)], "html string").select(block.markers(F.col("html")).alias("m"))
+    assert rows._jdf.queryExecution().analyzed().toString().count("lower(") == 1
+    assert [tuple(r.m) for r in rows.collect()] == [("just a moment", "members only"), (None, None), (None, None)]
